@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from vellum.llm import packing, split, tokens
+    from vellum.llm import leak, packing, split, tokens
 
-    return [split, tokens, packing]
+    return [split, tokens, packing, leak]
 
 
 def queries() -> dict:
