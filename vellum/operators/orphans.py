@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.operators.skew import salted_join
 from vellum.session import materialize
@@ -119,7 +120,7 @@ def parents(notes: DataFrame, attachments: DataFrame) -> DataFrame:
     return of_notes.select("key", "since", "until").unionByName(of_attachments)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def and_not(referenced: pd.Series, there: pd.Series) -> pd.Series:
     """The positions set in the first bitmap and not in the second; a null second is empty."""
     out = []
