@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from vellum.llm import leak, packing, quality, split, tokens
+    from vellum.llm import leak, level, neardup, packing, quality, split, tokens
 
-    return [split, tokens, packing, leak, quality]
+    return [split, level, neardup, tokens, packing, leak, quality]
 
 
 def queries() -> dict:
