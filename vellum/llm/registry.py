@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from vellum.llm import knn, leak, level, neardup, packing, quality, split, tokens
+    from vellum.llm import knn, leak, level, mainbody, neardup, packing, quality, split, tokens
 
-    return [split, level, neardup, knn, tokens, packing, leak, quality]
+    return [split, level, mainbody, neardup, knn, tokens, packing, leak, quality]
 
 
 def queries() -> dict:
