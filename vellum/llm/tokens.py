@@ -40,15 +40,15 @@ def token_count(text: Column, folder: str = TOKENIZER_DIR, vocabulary: str = VOC
 def clean_language(lang: Column) -> Column:
     """``en`` for ``EN``, ``en-US``, ``eng`` and the like; ``und`` for null and blank."""
     code = F.regexp_extract(F.lower(F.trim(lang)), r"^([a-z]+)", 1)
-    for long, short in LONG_CODES.items():
-        code = F.when(code == long, short).otherwise(code)
-    return F.when(F.coalesce(code, F.lit("")) == "", "und").otherwise(code)
+    for long, short in LONG_CODES.items():  # each names the code once, so the expression grows with the list only
+        code = F.regexp_replace(code, f"^{long}$", short)
+    return F.coalesce(F.nullif(code, F.lit("")), F.lit("und"))
 
 
 def clean_label(label: Column) -> Column:
     """Lower case, ends trimmed, ``_`` and white space as ``-``; ``unknown`` for null and blank."""
     name = F.regexp_replace(F.lower(F.trim(label)), r"[_\s]+", "-")
-    return F.when(F.coalesce(name, F.lit("")) == "", "unknown").otherwise(name)
+    return F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown"))
 
 
 def document_tokens(documents: DataFrame) -> DataFrame:
