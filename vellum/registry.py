@@ -11,9 +11,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def modules() -> list:
     """Modules with ``QUERIES`` (name to function) and ``SQL`` (name to statement)."""
-    from vellum.operators import orphans
+    from vellum.operators import intel, orphans, textstats
 
-    return [orphans]
+    return [orphans, textstats, intel]
 
 
 def queries() -> dict[str, Query]:
