@@ -11,9 +11,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def modules() -> list:
     """Modules with ``QUERIES`` (name to function) and ``SQL`` (name to statement)."""
-    from vellum.operators import intel, orphans, textstats
+    from vellum.operators import intel, markdown, orphans, search, similarity, textstats
 
-    return [orphans, textstats, intel]
+    return [orphans, textstats, intel, search, similarity, markdown]
 
 
 def queries() -> dict[str, Query]:
