@@ -250,7 +250,9 @@ def text_quality(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def document_quality(documents: DataFrame) -> DataFrame:
     """One row per document: its statistics and kind."""
-    return documents.select("doc_id", text_quality("text").alias("q")).select("doc_id", "q.*")
+    # declared non-deterministic so that a filter on the result doesn't have every text described twice
+    once = text_quality.asNondeterministic()
+    return documents.select("doc_id", once("text").alias("q")).select("doc_id", "q.*")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
