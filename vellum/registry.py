@@ -11,9 +11,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def modules() -> list:
     """Modules with ``QUERIES`` (name to function) and ``SQL`` (name to statement)."""
-    from vellum.operators import intel, markdown, orphans, search, similarity, textstats
+    from vellum.operators import intel, markdown, orphans, search, similarity, textstats, vault
+    from vellum.plans import relational
+    from vellum.streaming import incremental
 
-    return [orphans, textstats, intel, search, similarity, markdown]
+    return [orphans, textstats, intel, search, similarity, markdown, vault, relational, incremental]
 
 
 def queries() -> dict[str, Query]:
