@@ -316,6 +316,13 @@ SQL = {
     "heading_audit": f"""WITH h AS (SELECT *, lag(level) OVER w AS before, row_number() OVER w AS r FROM {_LEVELS} WHERE level IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
   SELECT doc_id, count(*) AS n_headings, {", ".join(f"count(*) FILTER (WHERE level = {k}) AS h{k}" for k in range(1, 7))}, min(level)::BIGINT AS min_level, max(level)::BIGINT AS max_level,
   count(*) FILTER (WHERE level > before + 1) AS n_jumps, max(CASE WHEN r = 1 THEN level END) = 1 AS starts_at_h1, count(*) FILTER (WHERE level = 1) = 1 AS one_h1 FROM h GROUP BY doc_id""",
+    "headings": rf"""WITH h AS (SELECT *, lower(title) AS t FROM {_LEVELS} WHERE level IS NOT NULL),
+  s AS (SELECT *, replace(regexp_replace(t, '[^\p{{L}}\p{{N}} -]', '', 'g'), ' ', '-') AS slug FROM h),
+  n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY pos) - 1 AS nth FROM s),
+  up AS (SELECT a.doc_id, a.pos, b.pos AS bpos, b.title AS btitle FROM n a JOIN n b ON b.doc_id = a.doc_id AND b.pos <= a.pos AND b.level <= a.level
+    AND NOT EXISTS (SELECT 1 FROM n c WHERE c.doc_id = a.doc_id AND c.pos > b.pos AND c.pos <= a.pos AND c.level <= b.level))
+  SELECT n.doc_id, n.pos::BIGINT AS pos, level::BIGINT AS level, title, CASE WHEN nth > 0 THEN slug || '-' || nth ELSE slug END AS anchor,
+  (SELECT string_agg(btitle, ' > ' ORDER BY bpos) FROM up WHERE up.doc_id = n.doc_id AND up.pos = n.pos) AS path FROM n""",
     "active_todos": f"SELECT doc_id, (pos + 1)::BIGINT AS line, trim(line) AS todo FROM {_LINES} WHERE contains(line, '- [ ]')",
     "task_status": rf"""SELECT CASE regexp_extract(line, '{_TASK}', 2) {_STATUS} ELSE 'other' END AS status, count(*) AS n FROM {_FENCED} WHERE NOT fenced AND regexp_matches(line, '{_TASK}') GROUP BY 1""",
     "qa_pairs": rf"""WITH s AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*Q:') THEN 'q' ELSE 'a' END AS kind FROM {_LINES} WHERE regexp_matches(line, '^\s*[QA]:')),

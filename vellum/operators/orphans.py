@@ -144,20 +144,19 @@ def orphan_references(links: DataFrame, backlinks: DataFrame, notes: DataFrame,
 
     bits = F.bitmap_construct_agg(F.bitmap_bit_position("id"))
     slot = F.bitmap_bucket_number("id").alias("slot")
-    periods = used.select("period").distinct()
     referenced = used.join(numbered, "key").groupBy(slot, "period").agg(bits.alias("referenced"))
 
-    # one row of the months in use; months are bounded by the calendar, not by the rows
-    calendar = periods.agg(F.array_sort(F.collect_set("period")).alias("periods"))
+    # the months in use, bounded by the calendar and not by the rows
+    months = sorted(r["period"] for r in used.select("period").distinct().collect())
+    calendar = F.array(*map(F.lit, months)) if months else F.array().cast("array<string>")
     first = lambda p: F.to_timestamp_ntz(F.concat(p, F.lit("-01")), F.lit("yyyy-MM-dd"))
     after = lambda p: F.add_months(F.to_date(F.concat(p, F.lit("-01"))), 1).cast("timestamp_ntz")
     whole = (
-        known.crossJoin(F.broadcast(calendar))
-        .select(
+        known.select(
             "id",
             F.explode(
                 F.filter(
-                    "periods",
+                    calendar,
                     lambda p: (F.col("since").isNull() | (F.col("since") <= first(p)))
                     & (F.col("until").isNull() | (F.col("until") >= after(p))),
                 )

@@ -62,11 +62,11 @@ def related(docs: DataFrame, target: int, most: int = 5) -> DataFrame:
     tf = term_frequency(docs)
     norms = tf.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     own = tf.where(F.col("doc_id") == target).select("term", F.col("tf").alias("own_tf"))
-    own_norm = norms.where(F.col("doc_id") == target).select(F.col("norm").alias("own_norm"))
+    row = norms.where(F.col("doc_id") == target).first()
+    own_norm = F.lit(row["norm"] if row else None).cast("double")
     dots = tf.where(F.col("doc_id") != target).join(own, "term").groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("own_tf")).alias("dot"))
-    score = F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")), 6)
-    # one row on the right: the norm of the one document
-    return dots.join(norms, "doc_id").crossJoin(F.broadcast(own_norm)).select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(most)
+    score = F.round(F.col("dot") / (F.col("norm") * own_norm), 6)
+    return dots.join(norms, "doc_id").select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(most)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -74,11 +74,12 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def vector_search(vectors: DataFrame, target: int, most: int = 10) -> DataFrame:
-    """(vec_id, score): rows of most cosine with one row; a single query vector is broadcast."""
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    query = vectors.where(F.col("vec_id") == target).select(F.col("embedding").alias("q")).limit(1)
-    score = F.round(dot(F.col("embedding"), F.col("q")) / (norm("embedding") * norm("q")), 5)
-    return vectors.crossJoin(F.broadcast(query)).where(F.col("vec_id") != target).select("vec_id", score.alias("score")).orderBy(
+    """(vec_id, score): rows of most cosine with one row; the single query vector becomes a constant of the plan."""
+    norm = lambda c: F.sqrt(dot(c, c))
+    row = vectors.where(F.col("vec_id") == target).select("embedding").first()
+    query = F.array(*map(F.lit, row["embedding"] if row and row["embedding"] else [])).cast("array<double>")
+    score = F.round(dot(F.col("embedding"), query) / (norm(F.col("embedding")) * norm(query)), 5)
+    return vectors.where(F.col("vec_id") != target).select("vec_id", score.alias("score")).orderBy(
         F.desc("score"), "vec_id"
     ).limit(most)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.tables import key_columns
+
 #: No more than this many keys can each hold a 1/HOT_SHARE part of the rows, which bounds the broadcast.
 HOT_SHARE = 400
 
@@ -23,8 +25,10 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], weights: Data
         *keys, F.ceil(F.col(weight) / F.lit(least)).cast("int").alias("_parts")
     )
     hot = F.broadcast(hot.limit(HOT_SHARE))
+    # by the row itself and not by chance: a task that is run again must send its rows where it sent them before
+    spread_by = F.xxhash64(*[F.col(c) for c in key_columns(big)])
     left = big.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.floor(F.rand(17) * F.col("_parts"))).cast("int")
+        "_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(spread_by, F.col("_parts"))).cast("int")
     ).drop("_parts")
     right = (
         small.join(hot, keys, "left")

@@ -32,9 +32,9 @@ def keywords(docs: DataFrame, most: int = KEYWORDS) -> DataFrame:
     """(doc_id, rank, term, score): per document the terms of most tf x (ln((N + 1) / (df + 1)) + 1), ties by term."""
     tf = term_frequency(docs)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    weight = F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
-    scored = tf.join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", F.round(weight, 6).alias("score"))
+    n = docs.count()
+    weight = F.col("tf") * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
+    scored = tf.join(df, "term").select("doc_id", "term", F.round(weight, 6).alias("score"))
     best = Window.partitionBy("doc_id").orderBy(F.desc("score"), "term")
     ranked = scored.withColumn("rank", F.row_number().over(best).cast("bigint"))
     return ranked.where(F.col("rank") <= most).select("doc_id", "rank", "term", "score")
@@ -76,10 +76,10 @@ WINDOWS = [("small", 8_000), ("medium", 32_000), ("large", 200_000)]
 
 
 def q_count_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    windows = spark.createDataFrame(WINDOWS, "model string, context bigint")
+    windows = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(c).alias("context")) for m, c in WINDOWS])
     used = documents(spark, folder).select("doc_id", tx.estimate_tokens("text").alias("token_estimate"))
-    return used.crossJoin(F.broadcast(windows)).select(
-        "doc_id", "model", "token_estimate", (F.col("token_estimate") <= F.col("context")).alias("fits")
+    return used.withColumn("w", F.explode(windows)).select(
+        "doc_id", "w.model", "token_estimate", (F.col("token_estimate") <= F.col("w.context")).alias("fits")
     )
 
 
@@ -88,9 +88,8 @@ def q_corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:
     words = words_of(documents(spark, folder)).where(~F.col("word").isin(STOPWORDS))
     fine = words.groupBy("doc_id", "word").agg(F.count("*").alias("c"))
     per_word = fine.groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("n_documents"))
-    total = per_word.agg(F.sum("n").alias("n"))
-    docs = fine.agg(F.countDistinct("doc_id").alias("n_documents"))
-    all_ = total.crossJoin(docs).select(F.lit(None).cast("string").alias("word"), "n", "n_documents")
+    total = fine.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.countDistinct("doc_id").alias("n_documents"))
+    all_ = total.select(F.lit(None).cast("string").alias("word"), "n", "n_documents")
     return per_word.unionByName(all_)
 
 

@@ -295,6 +295,15 @@ SQL = {
     "link_status": f"WITH {_RESOLVE} SELECT vault, status, count(*) AS n FROM res GROUP BY ALL",
     "backlinks": f"WITH {_RESOLVE} SELECT vault, path, src, count(*) AS n_links FROM res WHERE status = 'resolved' AND path <> src GROUP BY ALL",
     "unlinked_notes": f"WITH {_RESOLVE} SELECT vault, path FROM v WHERE NOT EXISTS (SELECT 1 FROM res r WHERE r.vault = v.vault AND r.path = v.path AND r.status = 'resolved' AND r.path <> r.src)",
+    "transclusions": f"""WITH RECURSIVE {_RESOLVE.lstrip()}, e AS (SELECT DISTINCT vault, src AS a, path AS b FROM res WHERE status = 'resolved' AND embed AND path <> src),
+  t AS (SELECT vault, a AS path, b AS embedded, 1 AS level FROM e UNION SELECT t.vault, t.path, e.b, level + 1 FROM t JOIN e ON e.vault = t.vault AND e.a = t.embedded WHERE level < 3)
+  SELECT vault, path, embedded, min(level)::BIGINT AS level FROM t WHERE path <> embedded GROUP BY ALL""",
+    "tag_index": rf"""WITH v AS {_VALID}, t AS (SELECT vault, note_id, unnest(tags) AS tag FROM v UNION
+  SELECT vault, note_id, regexp_extract(w, '^#([\p{{L}}\p{{N}}/_-]+)', 1) FROM (SELECT vault, note_id, unnest(regexp_split_to_array(line, '\s+')) AS w FROM
+    (SELECT vault, note_id, line, regexp_matches(line, '^\s*(```|~~~)') OR count(*) FILTER (WHERE regexp_matches(line, '^\s*(```|~~~)')) OVER (PARTITION BY vault, note_id ORDER BY pos) % 2 = 1 AS fenced
+    FROM (SELECT vault, note_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM v)) WHERE NOT fenced)
+  WHERE regexp_matches(w, '^#[\p{{L}}\p{{N}}/_-]*\p{{L}}[\p{{L}}\p{{N}}/_-]*'))
+  SELECT vault, tag, count(DISTINCT note_id) AS n_notes FROM t WHERE tag IS NOT NULL GROUP BY ALL""",
     "alias_index": f"SELECT vault, lower(a) AS alias, count(DISTINCT path) AS n_notes FROM (SELECT vault, path, unnest(aliases) AS a FROM {_VALID}) WHERE a IS NOT NULL GROUP BY ALL",
     "vault_statistics": f"""SELECT vault, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^([^/]+)/', 1) ELSE '.' END AS top,
   count(*) AS n FROM (SELECT vault, path FROM {_VALID} UNION ALL SELECT vault, path FROM attachments) GROUP BY ALL""",

@@ -77,4 +77,6 @@ def q_refresh(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {"stream_event_counts": q_stream, "incremental_index": q_refresh}
 SQL = {
     "stream_event_counts": "SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "incremental_index": r"""SELECT path, len(regexp_extract_all(text, '[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'))::BIGINT AS n_words FROM
+  (SELECT path, text, row_number() OVER (PARTITION BY path ORDER BY mtime DESC NULLS LAST, text DESC) AS r FROM documents WHERE path IS NOT NULL AND text IS NOT NULL) WHERE r = 1""",
 }

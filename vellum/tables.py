@@ -34,6 +34,6 @@ def spread(df: DataFrame, *columns: str | Column) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) * 4 >= cores:
+    if len(df._jdf.inputFiles()) * 4 >= cores:  # counted in the JVM, where the names stay
         return df
     return df.repartition(cores, *columns) if columns else df.repartition(cores)
