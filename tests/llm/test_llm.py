@@ -265,3 +265,31 @@ def test_quality_rows(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "word " * 200_000), (3, "word " * 200_000)], "doc_id long, text string")
     got = quality.document_quality(rows).collect()
     assert len(got) == 4 and {r.kind for r in got} == {None, "junk"} and max(r.n_words or 0 for r in got) == 200_000
+
+
+@pytest.mark.parametrize(
+    ("kind", "text"),
+    [
+        ("list", "The Sound of the Sea\nA Walk in the Woods\nThe House on the Hill\nHow to Be One of Them\nThe Man Who Was Not There\nAll the Rest of Us"),
+        ("list", "what is in the box\nhow it is made\nwhy it is so\nwhere to go from here\nthe house by the sea\nin the hills of the north"),
+        ("list", "- The view of the bay from the north side of the house\n- The boats at the old pier with all of their crews\n- The people in front of the hall on a day in the summer"),
+        ("table", "name of the town       in the north of it     1200\nwhere we are not       by the sea as it is    310\nthe house of them      on the hill with us    44\nall of the others      in the woods or not    7"),
+        ("table", "the man in the hat | one of us\nthe woman of the sea | not there\nthe rest of them | with the others\nsome of the best | in the end"),
+        ("prose", "so we were in the car and it was not\nclear what he had said about the\nhouse because there was a lot of\nnoise from the road and then they\ncame to the door and we had no more\ntime for any of it"),
+        ("prose", "Er hat den Hund im\nHaus gesehen und ist\nmit der Frau in die\nStadt gefahren, um das\nAuto zu holen. Die Frau\nwar nicht da. Es war am\nMorgen und das Haus\nwar nicht mehr so."),
+        ("prose", "    It was the first day of the year and we had no more of it.\nThere was not a man in the house.\n    She had been there before.\nNobody was with her in the end."),
+        ("prose", "It was the end.  We had no more.  They were not with us in the house.\nThere it was.  He had come to us.  It was not what we had been told of.\nWho was it.  She had been there. And then it was all over for us."),
+    ],
+)
+def test_kinds_by_layout(kind, text):
+    assert quality.describe(text)["kind"] == kind
+
+
+def test_indentation_and_line_lengths_decide():
+    lines = ["The start of the course", "what is in the book", "how it can be read", "The first of the steps", "where to go for help", "who will be in class", "The rest of the year", "what to do at home", "when it will be over"]
+    assert quality.describe("\n".join(lines))["kind"] == "prose"
+    assert quality.describe("\n".join(x if x[0].isupper() else "    " + x for x in lines))["kind"] == "list"
+    names = ["The long view of the bay with all of the boats there in summer", "The old house on the hill with some of the people at a table", "A road to the north that was not there before the last winter", "The hall of the town with the flags of all our neighbours up"]
+    short = ["in the sun", "at the noon", "by his car", "on a sunday"]
+    assert quality.describe("\n".join(x for pair in zip(names, short) for x in pair))["kind"] == "list"
+    assert quality.describe("\n".join([*names[:2], *short[:3], names[2], short[3], names[3]]))["kind"] == "prose"

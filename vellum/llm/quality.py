@@ -8,7 +8,11 @@ Method: two parts that meet in :func:`describe`.
   over the document.
 
 Every line gets one of the classes prose, list, table or junk from its own ratios and from how it aligns with
-its neighbours; a document is what most of its characters are. It is prose if half of them are.
+its neighbours. Lines that read like prose by their words are then judged by the layout of the whole document:
+they are entries of a list if :func:`_entry_score` says so, from their ends and starts, the document's ratios, the
+period of its indentation and the autocorrelation of its line lengths; they are rows of a table if delimiters or
+columns align over at least ``ALIGNED`` of the lines. A document is what most of its characters are. It is prose
+if half of them are.
 
 Null or blank text has null ratios and no kind. Texts of any length are read whole, line by line.
 """
@@ -69,6 +73,16 @@ _GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
 _ALNUM = re.compile(r"[^\W_]")
 _SYMBOL = re.compile(r"[^\w\s]|_")
 _END = ".!?…。！？:;»\"”')"
+#: The end of a sentence, in a line or at its end; initials and short forms such as "Dr." are none.
+_SENTENCE_END = re.compile(
+    r"[^\W\d_]{3}[\"'”’»)\]]*[.!?…]+(?:[\"'”’»)\]]*(?:\s+\S|\s*$)|\s)|[.!?…:;][\"'”’»)\]]*\s*$|\s[!?]\s*$|"
+    + _SENTENCE_JA.pattern
+)
+_QUOTED = re.compile(r"[>\s]*(?:(?:[-*+•‣◦·–]|\d{1,4}[.)]|\(?[a-zA-Z][.)])\s+)?[\"'“„«(\[]*")
+#: Share of the lines that align from which lines of words are rows, and the score from which they are entries.
+ALIGNED, ENTRIES = 0.5, 0.6
+#: Autocorrelation from which indentation or line lengths recur.
+RECURS = 0.5
 _DELIMITERS = "|¦\t;,"
 
 
@@ -87,6 +101,11 @@ def _delimiters(line: str) -> tuple[str, int]:
     return best, n
 
 
+def _columns(line: str) -> frozenset[int]:
+    """Where the columns after a gap begin; the wide space between two sentences is no gap."""
+    return frozenset(m.end() for m in _GAP.finditer(line) if line[m.start() - 1] not in ".!?…:;")
+
+
 def _autocorrelation(values: list[int], lag: int = 1) -> float:
     n = len(values)
     if n <= lag + 1:
@@ -159,6 +178,45 @@ def _row_like(kind: str, mark: tuple[str, int], n_tokens: int, line: str) -> boo
     return d == "gap" or d in "|¦" or (d == ";" and c * 8 >= n_tokens) or (d == "," and c >= 2 and ", " not in line)
 
 
+def _entry_score(
+    lines: list[str], tokens: list[list[str]], words: list[int], indent_period: float, length_period: float, ratios: dict
+) -> float:
+    """How much the lines at ``words``, which hold words and no other notation, look like entries rather than running text.
+
+    An entry ends no sentence and neither runs on nor is the rest of the line before: it doesn't end with a comma or, where
+    some lines begin in lower case, with a function word, nor begin in lower case where others don't, unless the layout
+    recurs. The score is the share of entries, more with periodic indentation or line lengths, many symbols and long words,
+    less with lines that end as sentences do.
+    """
+    starts = [lines[i][_QUOTED.match(lines[i]).end() :][:1] for i in words]
+    lower = sum(map(str.islower, starts))
+    ended = [_SENTENCE_END.search(lines[i]) is not None for i in words]
+    # where few sentences end, indentation or line lengths that recur set the lines apart, whatever they begin with
+    apart = max(indent_period, length_period) >= RECURS and sum(ended) <= 0.1 * len(words)
+    mixed = 0.1 * len(words) < lower < 0.9 * len(words) and not apart
+    runs_on = [
+        not e and (lines[i].rstrip()[-1] in ",-–—" or lower > 0 and bool(tokens[i]) and tokens[i][-1] in _COMMON)
+        for i, e in zip(words, ended)
+    ]
+    total = entries = 0
+    for k, i in enumerate(words):
+        size = len(lines[i].strip())
+        total += size
+        after = k + 1 < len(words) and words[k + 1] == i + 1 and mixed and starts[k + 1].islower()
+        rest = k > 0 and words[k - 1] == i - 1 and runs_on[k - 1] or mixed and starts[k].islower()
+        entries += size * (not (ended[k] or runs_on[k] or after or rest))
+    if not total:
+        return 0.0
+    return (
+        entries / total
+        + 0.4 * max(0.0, indent_period)
+        + 0.3 * max(0.0, length_period)
+        + 0.5 * min(max(ratios["symbol_ratio"] - 0.04, 0.0), 0.2)
+        + 0.05 * min(max((ratios["mean_word_length"] or 0) - 4.5, 0.0), 1.5)
+        - 0.3 * ratios["end_punctuation"]
+    )
+
+
 def describe(text: str | None) -> dict:
     """Statistics and kind of one text."""
     if text is None or not text.strip():
@@ -166,24 +224,47 @@ def describe(text: str | None) -> dict:
     lines = [x for x in text.splitlines() if x and not x.isspace()]
     tokens = [_WORD.findall(x) for x in map(str.lower, lines)]
     own = list(map(_own_class, lines, tokens))
-    marks = [_delimiters(x) if k != "prose" or "\t" in x else ("", 0) for x, k in zip(lines, own)]
+    marks = list(map(_delimiters, lines))
     sizes = [len(x.strip()) for x in lines]
     n = len(lines)
+    words_ = [t for ts in tokens for t in ts]
+    indents = [len(x) - len(x.lstrip()) for x in lines]
+    indent_period = max(_autocorrelation(indents, lag) for lag in (1, 2, 3)) if any(indents) else 0.0
+    ratios = {
+        "mean_word_length": sum(map(len, words_)) / len(words_) if words_ else None,
+        "symbol_ratio": len(_SYMBOL.findall(text)) / len("".join(text.split())),
+        "end_punctuation": sum(x.rstrip()[-1] in _END for x in lines) / n,
+    }
+    length_autocorrelation = _autocorrelation(sizes)
+    beside = [[j for j in (i - 1, i + 1) if 0 <= j < n] for i in range(n)]
+    same = [
+        bool(d) and any(marks[j][0] == d if d == "gap" else marks[j] == (d, c) for j in beside[i])
+        for i, (d, c) in enumerate(marks)
+    ]
+    # lines of words are rows only where the document aligns, by columns that begin at the same place
+    columns = {i: _columns(lines[i]) for i, (d, _) in enumerate(marks) if d == "gap"}
+    in_column = [
+        same[i]
+        and _row_like("short", marks[i], len(tokens[i]), lines[i])
+        and (i not in columns or any(columns[i] & columns.get(j, frozenset()) for j in beside[i]))
+        for i in range(n)
+    ]
+    by_column = sum(in_column) >= ALIGNED * n
+    words = [i for i, k in enumerate(own) if k in ("prose", "short")]
+    length_period = max(length_autocorrelation, *(_autocorrelation(sizes, lag) for lag in (2, 3)))
+    as_entries = len(words) > 2 and _entry_score(lines, tokens, words, indent_period, length_period, ratios) >= ENTRIES
     weight = {"prose": 0, "list": 0, "table": 0, "junk": 0}
-    aligned = 0
     repeated = Counter(lines) if n > 3 else {}
     paragraph = False  # whether the line before belongs to running text
     for i, kind in enumerate(own):
-        d, c = marks[i]
-        same = False
-        if d:
-            beside = [marks[j] for j in (i - 1, i + 1) if 0 <= j < n]
-            same = any(m[0] == d if d == "gap" else m == (d, c) for m in beside)
-            aligned += same
         if kind != "row" and sizes[i] > 8 and repeated and repeated[lines[i]] >= 4:
             kind = "junk"
-        elif same and kind in ("short", "loose", "item", "prose") and _row_like(kind, marks[i], len(tokens[i]), lines[i]):
+        elif same[i] and kind in ("short", "loose", "item", "prose") and _row_like(kind, marks[i], len(tokens[i]), lines[i]):
+            kind = "row"
+        elif kind == "prose" and by_column and in_column[i]:
             kind = "row"
+        elif kind == "prose" and as_entries and not _SENTENCE_END.search(lines[i]):
+            kind = "item"
         if kind == "row":
             weight["table"] += sizes[i]
         elif kind == "item":
@@ -197,7 +278,6 @@ def describe(text: str | None) -> dict:
             rest = paragraph and lines[i].rstrip()[-1:] in _END and sizes[i - 1] > 40
             weight["prose" if rest else "list"] += sizes[i]
         paragraph = kind == "prose"
-    words_ = [t for ts in tokens for t in ts]
     total = sum(weight.values())
     grams = 0.0
     if len(words_) > 24:
@@ -207,18 +287,15 @@ def describe(text: str | None) -> dict:
         kind = "junk"
     elif total and weight["prose"] < 0.5 * total:
         kind = max(("junk", "table", "list"), key=lambda k: weight[k])
-    indents = [len(x) - len(x.lstrip()) for x in lines]
     share = lambda k: weight[k] / total if total else None
     return {
         "n_words": len(words_),
-        "mean_word_length": sum(map(len, words_)) / len(words_) if words_ else None,
-        "symbol_ratio": len(_SYMBOL.findall(text)) / len("".join(text.split())),
-        "end_punctuation": sum(x.rstrip()[-1] in _END for x in lines) / n,
+        **ratios,
         "common_words": _common_share(words_) if words_ else None,
         "repeated": grams,
-        "delimiter_alignment": aligned / n,
-        "indent_period": max(_autocorrelation(indents, lag) for lag in (1, 2, 3)) if any(indents) else 0.0,
-        "length_autocorrelation": _autocorrelation(sizes),
+        "delimiter_alignment": sum(same) / n,
+        "indent_period": indent_period,
+        "length_autocorrelation": length_autocorrelation,
         "prose_share": share("prose"),
         "list_share": share("list"),
         "table_share": share("table"),
