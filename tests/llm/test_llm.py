@@ -119,6 +119,31 @@ def test_gradients():
         assert abs((up - down) / 2e-3 - grads[name][at]) < 2e-3
 
 
+def test_whole_blocks_are_read():
+    page = lambda end: mainbody.page_blocks(f"<body><p>{'some words of it ' * 60}{end}</p></body>".encode())
+    _, words, num, (at, term, share) = mainbody.features(page("in the very end"))
+    assert words[0, 7:].tolist() == [mainbody._TERM["$" + w] for w in ("the", "very", "end")]
+    assert set(term) == {mainbody._TERM[w] for w in "some words of it in the very end".split()} and set(at) == {0} and abs(share.sum() - 1) < 1e-5
+    assert (mainbody.features(page("12 34"))[2] != mainbody.features(page("ab cd"))[2]).any()
+
+
+def test_gradients_of_all_words():
+    rng = np.random.default_rng(1)
+    net = mainbody.Labeller(hidden=4, width=3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    tags, words = rng.integers(0, 9, (2, 3, mainbody.TAGS)), rng.integers(0, 9, (2, 3, mainbody.WORDS))
+    num, mask, y = rng.standard_normal((2, 3, mainbody.MEASURES)), np.ones((2, 3)), np.array([[1, 0, 1], [0, 1, 0.0]])
+    bag = np.array([0, 0, 2, 4]), np.array([20, 21, 20, 22]), np.array([0.5, 0.5, 1, 1])
+    loss = lambda: -float(np.mean(y * np.log(s := net.scores(tags, words, num, mask, bag)) + (1 - y) * np.log(1 - s)))
+    grads = net.gradients(tags, words, num, mask, y, bag)
+    for at in ((20, 0), (21, 1), (22, 2)):
+        net.p["word"][at] += 1e-2
+        up = loss()
+        net.p["word"][at] -= 2e-2
+        assert abs((up - loss()) / 2e-2 - grads["word"][at]) < 1e-4 and grads["word"][at] != 0
+        net.p["word"][at] += 1e-2
+
+
 # --- p5
 
 

@@ -1,7 +1,8 @@
 """The main body of web pages (problem 4).
 
 Method, a recurrent block labeller: a page is read as the sequence of its leaf blocks. Each block is a vector of its tag path
-(hashed), its words (hashed) and a few measures (length, link share, place); a bidirectional LSTM in numpy reads the whole
+(hashed), its words (hashed: the first and last by themselves, all of them as an average) and a few measures (length, link
+share, place), all taken from the whole block; a bidirectional LSTM in numpy reads the whole
 sequence both ways and labels every block as article or not, so a block is judged by all that stands around it.
 
 No page comes labelled. The network is trained on a bounded sample of pages (``TRAIN_PAGES``, taken by a hash of their id)
@@ -142,8 +143,13 @@ _TAG, _TERM = _Known(TAG_BUCKETS), _Known(WORD_BUCKETS)
 TAGS, WORDS, MEASURES = 6, 10, 32
 
 
-def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed tag paths (blocks, TAGS), hashed words (blocks, WORDS) and measures (blocks, MEASURES); bucket 0 is none."""
+#: All words of blocks as hashed words with their share: which block, which word, its share of the block's words.
+Bag = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Bag]:
+    """Hashed tag paths (blocks, TAGS), the first and last words hashed (blocks, WORDS), measures (blocks, MEASURES) and
+    all words; bucket 0 is none."""
     n = len(page)
     tags = np.zeros((n, TAGS), np.int32)
     words = np.zeros((n, WORDS), np.int32)
@@ -162,6 +168,7 @@ def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if b.path[-1:] == ("h1",):
             with_h1.update(b.ids[1:-1])
     before: Block | None = None
+    bag: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for k, b in enumerate(page):
         path = [t + ("." if m else "") for t, m in zip(b.path, b.marked) if t != "html"]
         tags[k] = [
@@ -169,10 +176,13 @@ def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             _TAG["#" + "/".join(b.path[1:])], _TAG["^" + "/".join(path[1:3])],
         ]
         text = b.text.strip()
-        found = _WORD.findall(text[:400].lower())
+        found = _WORD.findall(text.lower())
         first, last = found[:7], found[7:][-3:]
         words[k, : len(first)] = [_TERM[w] for w in first]
         words[k, 7 : 7 + len(last)] = [_TERM["$" + w] for w in last]
+        if found:
+            term, times = np.unique(np.array([_TERM[w] for w in found], np.int32), return_counts=True)
+            bag.append((np.full(len(term), k, np.int32), term, (times / len(found)).astype(np.float32)))
         size = max(1, len(text))
         own = b.ids[-1] if b.ids else 0
         up = b.ids[-2] if len(b.ids) > 1 else 0
@@ -186,11 +196,18 @@ def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             linked.get(up, 0) / max(1, chars.get(up, 0)), own in with_h1 or up in with_h1, top in with_h1,
             (b.marked[-1] if b.marked else 0), (b.marked[-2] if len(b.marked) > 1 else 0), shared / 6,
             bool(before and before.ids[-1:] == b.ids[-1:]), bool(before and before.ids[-2:-1] == b.ids[-2:-1]),
-            sum(t in _LANDMARKS for t in b.path), sum(c.isdigit() for c in text[:80]) / min(size, 80),
+            sum(t in _LANDMARKS for t in b.path), sum(map(str.isdigit, text)) / size,
             bool(b.path) and b.path[-1] in ("h1", "h2", "h3", "h4"),
         ]
         before = b
-    return tags, words, num
+    return tags, words, num, _joined(bag)
+
+
+def _joined(bags: list[Bag]) -> Bag:
+    if not bags:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
+    at, term, share = (np.concatenate(x) for x in zip(*bags))
+    return at, term, share
 
 
 # ------------------------------------------------------------------ network
@@ -205,7 +222,7 @@ class Labeller:
 
     def __init__(self, hidden: int = HIDDEN, width: int = WIDTH, random: int = 5):
         rng = np.random.default_rng(random)
-        inputs = 2 * width + MEASURES
+        inputs = 3 * width + MEASURES
         draw = lambda *s: (rng.standard_normal(s) * (1 / np.sqrt(s[0]))).astype(np.float32)
         self.p = {
             "tag": (rng.standard_normal((TAG_BUCKETS, width)) * 0.1).astype(np.float32),
@@ -220,10 +237,16 @@ class Labeller:
             self.p["b" + d][hidden : 2 * hidden] = 1
         self.hidden = hidden
 
-    def _inputs(self, tags, words, num):
+    def _inputs(self, tags, words, num, bag=None):
         nt = np.maximum(1, (tags > 0).sum(-1, keepdims=True))
         nw = np.maximum(1, (words > 0).sum(-1, keepdims=True))
-        x = np.concatenate([self.p["tag"][tags].sum(-2) / nt, self.p["word"][words].sum(-2) / nw, num], axis=-1)
+        every = np.zeros((tags.shape[0] * tags.shape[1], self.p["word"].shape[1]), np.float32)
+        if bag is not None and len(bag[0]):
+            at, term, share = bag
+            first = np.flatnonzero(np.diff(at, prepend=-1))  # a block's words stand together
+            every[at[first]] = np.add.reduceat(self.p["word"][term] * share[:, None], first, axis=0)
+        every = every.reshape(*tags.shape[:2], -1)
+        x = np.concatenate([self.p["tag"][tags].sum(-2) / nt, self.p["word"][words].sum(-2) / nw, every, num], axis=-1)
         return x.astype(np.float32), nt, nw
 
     def _run(self, x, mask, d):
@@ -248,15 +271,15 @@ class Labeller:
             out[:, t] = h
         return out, kept
 
-    def scores(self, tags, words, num, mask):
-        x, _, _ = self._inputs(tags, words, num)
+    def scores(self, tags, words, num, mask, bag=None):
+        x, _, _ = self._inputs(tags, words, num, bag)
         f, _ = self._run(x, mask, "f")
         b, _ = self._run(x, mask, "b")
         return _sigmoid((np.concatenate([f, b, x], axis=-1) @ self.p["out"])[..., 0] + self.p["bias"])
 
-    def gradients(self, tags, words, num, mask, y):
+    def gradients(self, tags, words, num, mask, y, bag=None):
         hid = self.hidden
-        x, nt, nw = self._inputs(tags, words, num)
+        x, nt, nw = self._inputs(tags, words, num, bag)
         f, kept_f = self._run(x, mask, "f")
         b, kept_b = self._run(x, mask, "b")
         every = np.concatenate([f, b, x], axis=-1)
@@ -290,6 +313,9 @@ class Labeller:
             grad = np.zeros_like(self.p[name])
             each = np.broadcast_to((part / n)[..., None, :], (*ids.shape, w))
             np.add.at(grad, ids.reshape(-1), each.reshape(-1, w))
+            if name == "word" and bag is not None:
+                at, term, share = bag
+                np.add.at(grad, term, d_x[..., 2 * w : 3 * w].reshape(-1, w)[at] * share[:, None])
             grad[0] = 0
             g[name] = grad
         return g
@@ -300,11 +326,13 @@ def _padded(pages: list[tuple], labels: list[list[int]] | None = None):
     n = len(pages)
     tags, words = np.zeros((n, steps, TAGS), np.int32), np.zeros((n, steps, WORDS), np.int32)
     num, mask, y = np.zeros((n, steps, MEASURES), np.float32), np.zeros((n, steps), np.float32), np.zeros((n, steps), np.float32)
-    for k, (a, b, c) in enumerate(pages):
+    bags = []
+    for k, (a, b, c, (at, term, share)) in enumerate(pages):
+        bags.append((at + k * steps, term, share))
         tags[k, : len(a)], words[k, : len(a)], num[k, : len(a)], mask[k, : len(a)] = a, b, c, 1
         if labels is not None:
             y[k, : len(a)] = labels[k]
-    return tags, words, num, mask, y
+    return tags, words, num, mask, y, _joined(bags)
 
 
 def train(pages: list[list[Block]], epochs: int = EPOCHS, random: int = 5) -> Labeller:
@@ -330,12 +358,14 @@ def train(pages: list[list[Block]], epochs: int = EPOCHS, random: int = 5) -> La
         batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
         for j in rng.permutation(len(batches)):
             batch = [seeded[i] for i in batches[j]]
-            tags, words, num, mask, y = _padded([b[0] for b in batch], [b[1] for b in batch])
+            tags, words, num, mask, y, bag = _padded([b[0] for b in batch], [b[1] for b in batch])
             tags = np.where(rng.random(tags.shape) < 0.15, 0, tags)
             tags[..., 1:] *= rng.random((len(batch), 1, 1)) > 0.4  # a page known by its last tags only
             words = np.where(rng.random(words.shape) < 0.3, 0, words)
+            seen = rng.random(len(bag[0])) >= 0.3
+            bag = bag[0][seen], bag[1][seen], bag[2][seen]
             num = num * (rng.random((len(batch), 1, MEASURES)) > 0.05)
-            grads = model.gradients(tags, words, num.astype(np.float32), mask, y)
+            grads = model.gradients(tags, words, num.astype(np.float32), mask, y, bag)
             norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
             step += 1
             rate = 0.012 * min(1, step / 20) * (0.1 + 0.9 * (1 - step / total))
@@ -358,8 +388,8 @@ def label(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
         while len(some) < 128 and at + len(some) < len(order) and len(pages[order[at + len(some)]]) * (len(some) + 1) <= 20_000:
             some.append(order[at + len(some)])
         found = [features(pages[i]) for i in some]
-        tags, words, num, mask, _ = _padded(found)
-        s = model.scores(tags, words, num, mask)
+        tags, words, num, mask, _, bag = _padded(found)
+        s = model.scores(tags, words, num, mask, bag)
         for k, i in enumerate(some):
             out[i] = s[k, : len(pages[i])]
         at += len(some)
