@@ -266,6 +266,17 @@ def test_shared_passages(spark):
     assert got == {(1, 7): 3, (5, 7): 3, (6, 7): 1}
 
 
+def test_near_passages_have_a_similarity(spark):
+    words = "the quick brown fox jumps over one lazy dog near some river".split()
+    assert leak.similarity(tuple(words), tuple(words)) == 1.0 and leak.similarity(tuple(words), tuple("abcdefghijkl")) == 0.0
+    assert leak.similarity(("aa", "b", "c"), ("aa", "b", "d")) == 3 / 7
+    documents = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[1:], words[0]])), (3, "no part of it"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: r.similarity for r in leak.near_passages(documents, items).collect()}
+    assert set(got) == {1, 2} and got[1] == 1.0 and 0.5 <= got[2] < 1.0
+    assert {r.doc_id for r in leak.shared_passages(documents, items).collect()} == {1}
+
+
 # --- p10
 
 

@@ -5,9 +5,11 @@ are cut into all their windows of that many words, and so is every document. A w
 64-bit SimHash of its words (each word weighs the same). Fingerprints within ``RADIUS`` bits of an
 item window's are found by a multi-index: the 64 bits form ``RADIUS + 1`` blocks, and two fingerprints that
 differ in at most ``RADIUS`` bits agree in one block at least, so no such pair is missed. Candidates
-are then verified exactly, by the weighted similarity of their word shingles: the words themselves, in
-order. A verified passage therefore has no false positives, and since equal windows have equal
-fingerprints, none is missed.
+are then verified exactly, by the weighted similarity of their word shingles (:func:`similarity`): that of
+the words themselves, so a near match is given with how near it is (:func:`near_passages`).
+:func:`shared_passages` keeps those whose words are the same, in order: this equality takes the
+similarity's place there, as equal windows have similarity 1. It has no false positives, and
+since equal windows have equal fingerprints, none is missed.
 
 The items are a fixed table; its windows are broadcast if they are at most ``MAX_ITEM_WINDOWS``, else the
 items are worked off in blocks of that many windows, each block one more pass over the documents.
@@ -18,8 +20,9 @@ of fewer than ``WINDOW`` words can't leak.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,8 @@ from vellum.tables import load, spread
 
 WINDOW = 12
 RADIUS = 3
+#: Words of a shingle.
+SHINGLE = 2
 MAX_ITEM_WINDOWS = 2_000_000
 #: Words of documents fingerprinted at once; bounds a worker's memory, not what is read.
 AT_ONCE = 60_000
@@ -86,6 +91,15 @@ def rolling(h: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
+def similarity(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    """Weighted Jaccard similarity of the shingles of ``SHINGLE`` words of two windows; a shingle weighs the characters of
+    its words, each time it occurs. 1.0 also for windows of the same shingles in another order."""
+    counts = [Counter(zip(*(w[i:] for i in range(min(SHINGLE, len(w)))))) for w in (a, b)]
+    weigh = lambda c: sum(n * sum(map(len, s)) for s, n in c.items())
+    either = weigh(counts[0] | counts[1])
+    return weigh(counts[0] & counts[1]) / either if either else 0.0
+
+
 class MultiIndex:
     """Fingerprints of item windows, found by any within ``radius`` bits."""
 
@@ -139,6 +153,24 @@ class MultiIndex:
 
 def shared_passages(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, n_shared): pairs that share a passage, with how many windows of the item they share."""
+    rows = _passages(documents, items, window, radius, _verify, "doc_id bigint, item_id bigint, n_shared bigint")
+    return rows.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"))
+
+
+def near_passages(
+    documents: DataFrame, items: DataFrame, least: float = 0.5, window: int = WINDOW, radius: int = RADIUS
+) -> DataFrame:
+    """(doc_id, item_id, similarity): pairs with windows within ``radius`` bits of each other, and the greatest weighted
+    similarity of their shingles, from ``least`` on."""
+    schema = "doc_id bigint, item_id bigint, similarity double"
+    rows = _passages(documents, items, window, radius, partial(_near, least=least), schema)
+    return rows.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+
+
+def _passages(
+    documents: DataFrame, items: DataFrame, window: int, radius: int, verify: Callable[..., pd.DataFrame], schema: str
+) -> DataFrame:
+    """The rows that ``verify`` makes of the candidates of each batch of documents."""
     spark = documents.sparkSession
     # the bound is checked on a count before anything is brought over
     n_words = F.size(F.split("text", r"[^\p{L}\p{N}]+"))
@@ -163,18 +195,35 @@ def shared_passages(documents: DataFrame, items: DataFrame, window: int = WINDOW
                     pending.append((doc, tokens))
                     count += len(tokens)
                     if count >= AT_ONCE:
-                        yield _verify(index, pending)
+                        yield verify(index, pending)
                         pending, count = [], 0
                 if pending:
-                    yield _verify(index, pending)
+                    yield verify(index, pending)
 
         found.append(
             documents.where(F.col("text").isNotNull())
             .select("doc_id", "text")
-            .mapInPandas(look, "doc_id bigint, item_id bigint, n_shared bigint")
+            .mapInPandas(look, schema)
         )
-    rows = reduce(DataFrame.unionByName, found)
-    return rows.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _near(index: MultiIndex, pending: list[tuple[int, list[str]]], least: float) -> pd.DataFrame:
+    """Pairs of these documents and items, and the greatest similarity of their candidate windows."""
+    ends = np.cumsum([len(tokens) for _, tokens in pending])
+    at, window = index.candidates(simhash(hashes([w for _, tokens in pending for w in tokens]), index.window))
+    doc = np.searchsorted(ends, at, side="right")
+    inside = at + index.window <= ends[doc]  # a window across two documents is none
+    rows: dict[tuple[int, int], float] = {}
+    for d, a, w in zip(doc[inside], at[inside], window[inside]):
+        number, tokens = pending[d]
+        i = a - (ends[d] - len(tokens))
+        found = similarity(tuple(tokens[i : i + index.window]), index.words[w])
+        if found >= least:
+            key = number, int(index.item[w])
+            rows[key] = max(found, rows.get(key, 0.0))
+    made = pd.DataFrame([(d, i, s) for (d, i), s in rows.items()], columns=["doc_id", "item_id", "similarity"])
+    return made.astype({"doc_id": "int64", "item_id": "int64", "similarity": "float64"})
 
 
 def _verify(index: MultiIndex, pending: list[tuple[int, list[str]]]) -> pd.DataFrame:
