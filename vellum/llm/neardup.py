@@ -208,14 +208,16 @@ class NearDuplicates:
         columns = ["tbl", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")]
         return between.select(*columns).unionByName(within.select(*columns))
 
-    def groups(self, rounds: int = 60) -> DataFrame:
+    def groups(self) -> DataFrame:
         """(tbl, id, class_id, group_id, n_links): one row per record. ``group_id`` is the least id of the records
-        that chains of links connect; ``n_links`` counts other classes linked to the record's own."""
+        that chains of links connect; ``n_links`` counts other classes linked to the record's own.
+
+        Labels only fall and are ids of the records, so the rounds end; they go on until none changes."""
         edges = self.links.select("tbl", F.col("a").alias("x"), F.col("b").alias("y"))
         edges = materialize(edges.unionByName(edges.select("tbl", F.col("y").alias("x"), F.col("x").alias("y"))), "neardup-edges")
         degree = edges.groupBy("tbl", F.col("x").alias("class_id")).agg(F.count("*").alias("n_links"))
         label = materialize(edges.groupBy("tbl", "x").agg(F.least(F.min("y"), F.col("x")).alias("g")), "neardup-label")
-        for _ in range(rounds):
+        while True:
             # the least label among the neighbours, then the label of that label
             near = (
                 edges.join(label.select("tbl", F.col("x").alias("y"), "g"), ["tbl", "y"])
