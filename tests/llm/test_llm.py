@@ -144,6 +144,14 @@ def test_gradients_of_all_words():
         net.p["word"][at] += 1e-2
 
 
+def test_pages_without_article_have_no_lines(spark):
+    net = mainbody.Labeller()
+    net.p["bias"][:] = 99  # every block is article
+    rows = [(1, b"<p>one</p>\n<p>two</p>", "text/html", True)] * 2 + [(2, b"", "text/html", True), (3, None, None, None), (4, b"<p>x</p>", "text/html", False)]
+    frame = spark.createDataFrame(rows, "resource_id long, data binary, mime_type string, is_main boolean")
+    assert {tuple(r) for r in mainbody.lines_per_page(frame, net).collect()} == {(1, 2), (2, 0), (3, 0)}
+
+
 # --- p5
 
 

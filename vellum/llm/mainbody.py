@@ -438,14 +438,20 @@ def main_body_lines(resources: DataFrame, model: Labeller | None = None) -> Data
     return pages.mapInPandas(work, "resource_id bigint, line_no bigint")
 
 
+def lines_per_page(resources: DataFrame, model: Labeller | None = None) -> DataFrame:
+    """(resource_id, n_lines): one row for each main resource, 0 where nothing is found, as in those empty or not HTML."""
+    pages = resources.where(F.coalesce("is_main", F.lit(True))).select("resource_id").distinct()
+    lines = main_body_lines(resources, model).distinct().groupBy("resource_id").agg(F.count("*").alias("n"))
+    return pages.join(lines, "resource_id", "left").select("resource_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_lines"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return main_body_lines(spread(load(spark, folder, "web_resources"))).distinct()
 
 
 def p4_pages(spark: SparkSession, folder: str) -> DataFrame:
     """For each page: how many of its lines show text of its article."""
-    lines = main_body_lines(spread(load(spark, folder, "web_resources"))).distinct()
-    return lines.groupBy("resource_id").agg(F.count("*").alias("n_lines"))
+    return lines_per_page(spread(load(spark, folder, "web_resources")))
 
 
 QUERIES = {"p4_found": p4_found, "p4_pages": p4_pages}
