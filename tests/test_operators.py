@@ -131,3 +131,17 @@ def test_asof_and_range(spark):
     points = spark.createDataFrame([(1.0,), (5.0,), (9.0,)], "x double")
     ranges = spark.createDataFrame([(0.0, 5.0), (4.0, 10.0)], "lo double, hi double")
     assert rel.range_join(points, ranges, "x", "lo", "hi", 3.0).count() == 3
+
+
+def test_earlier_index_has_every_outcome(spark):
+    from vellum.streaming import incremental
+
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+    documents = read("documents")
+    index = incremental.earlier_index(documents, read("notes")).collect()
+    files = {r.path: r.mtime for r in documents.where("path is not null and text is not null").collect()}
+    own = {r.path: r.mtime for r in index if r.model == "words"}
+    assert set(files) - set(own) and set(own) - set(files) and any(r.model == "other" for r in index)
+    assert {files[p] == m for p, m in own.items() if p in files} == {True, False}
+    got = incremental.q_refresh(spark, "/root/testdata/sf0.001").collect()
+    assert {r.path for r in got} == set(files) and len(got) == len(files) and min(r.n_words for r in got) >= 0
