@@ -319,15 +319,35 @@ def test_shared_passages(spark):
     assert got == {(1, 7): 3, (5, 7): 3, (6, 7): 1}
 
 
-def test_near_passages_have_a_similarity(spark):
-    words = "the quick brown fox jumps over one lazy dog near some river".split()
-    assert leak.similarity(tuple(words), tuple(words)) == 1.0 and leak.similarity(tuple(words), tuple("abcdefghijkl")) == 0.0
-    assert leak.similarity(("aa", "b", "c"), ("aa", "b", "d")) == 3 / 7
-    documents = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[1:], words[0]])), (3, "no part of it"), (4, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
-    got = {r.doc_id: r.similarity for r in leak.near_passages(documents, items).collect()}
-    assert set(got) == {1, 2} and got[1] == 1.0 and 0.5 <= got[2] < 1.0
-    assert {r.doc_id for r in leak.shared_passages(documents, items).collect()} == {1}
+def test_votes_of_windows_by_brute_force():
+    h = np.random.default_rng(1).integers(0, 2**64, 300, dtype=np.uint64)
+    bits = ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(int)
+    for w, got in zip((12, 27, 90, 127), leak.simhashes(h, (12, 27, 90, 127))):
+        assert [int(x) for x in got] == [sum(1 << b for b in range(64) if bits[i : i + w, b].sum() * 2 > w) for i in range(301 - w)]
+    assert len(leak.simhash(h[:5], 12)) == 0
+
+
+def test_edited_copies_are_found_by_item_sized_windows(spark):
+    """An item with a word changed after every eleven shares no passage, yet its windows are near and similar; without the radius
+    of the fingerprints fewer are."""
+    rng = np.random.default_rng(7)
+    assert leak.similarity(tuple("abcdefgh"), tuple("abcdefgh")) == 1.0 and leak.similarity(tuple("abcdefgh"), tuple("ABCDEFGH")) == 0.0
+    assert leak.similarity(("aa", "b", "c", "d", "e", "f"), ("aa", "b", "c", "d", "e", "g")) == 6 / 16
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 7))
+    texts = {i: [word() for _ in range(60)] for i in range(40)}
+    items = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "item_id long, text string")
+    edited = {i: [*t[:30], word(), *t[31:]] for i, t in texts.items()}
+    parts = {i + 100: t[5:20] for i, t in texts.items()}
+    others = {i + 200: [word() for _ in range(60)] for i in texts}
+    documents = [(i, " ".join(["so", "it", *t, "was"])) for i, t in {**edited, **parts, **others}.items()] + [(900, None), (901, "")]
+    got = {(r.doc_id, r.item_id): r for r in leak.leaks(spark.createDataFrame(documents, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(i, i) for i in edited} | {(i, i - 100) for i in parts}
+    assert all(got[i, i - 100].n_shared == 4 and got[i, i - 100].similarity == 0 for i in parts)
+    near = [i for i in edited if got[i, i].similarity >= leak.SIMILARITY]
+    none = leak.leaks(spark.createDataFrame(documents, "doc_id long, text string"), items, radius=0).where("similarity > 0").count()
+    assert len(near) > none, (len(near), none)
+    scattered = spark.createDataFrame([(1, " ".join(w for k, w in enumerate(texts[0]) if k % 12 != 11))], "doc_id long, text string")
+    assert leak.shared_passages(scattered, items).count() == 0
 
 
 # --- p10
