@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 # Element groups of the HTML standard.
@@ -264,7 +264,20 @@ def _raw(node: Node) -> Iterator[str]:
 _WRAP = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "del": "~~", "s": "~~"}
 
 
-def _inline(node: Node | str) -> str:
+def _done(step: Generator):
+    """The result of a generator that yields the generators whose results it needs; deep pages don't deepen the Python stack."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def _inline(node: Node | str) -> Generator:
     if isinstance(node, str):
         return re.sub(r"\s+", " ", node)
     if node.tag in SILENT:
@@ -273,7 +286,10 @@ def _inline(node: Node | str) -> str:
         return "\n"
     if node.tag == "img":
         return f"![{node.attrs.get('alt') or 'Image'}]({node.attrs['src']})" if node.attrs.get("src") else ""
-    inside = "".join(map(_inline, node.children))
+    parts = []
+    for child in node.children:
+        parts.append((yield _inline(child)))
+    inside = "".join(parts)
     if node.tag == "a" and node.attrs.get("href") and inside.strip():
         return f"[{inside.strip()}]({node.attrs['href']})"
     mark = _WRAP.get(node.tag)
@@ -288,7 +304,20 @@ def pipe_table(rows: list[list[str]]) -> str:
     return "\n".join([line(rows[0]), line(["---"] * len(rows[0])), *map(line, rows[1:])])
 
 
-def _blocks(node: Node, depth: int, out: list[str]) -> None:
+def _holders(root: Node) -> set[int]:
+    """The elements with a block element below them, by ``id``."""
+    held: set[int] = set()
+    for node in root.walk():
+        up = node.parent if node.tag in BLOCK and node.tag not in ("html", "body") else None
+        while up is not None and id(up) not in held:
+            held.add(id(up))
+            up = up.parent
+    return held
+
+
+def _blocks(node: Node, holders: set[int]) -> Generator:
+    """The Markdown blocks of an element."""
+    out: list[str] = []
     run: list[str] = []
 
     def flush() -> None:
@@ -298,15 +327,15 @@ def _blocks(node: Node, depth: int, out: list[str]) -> None:
         run.clear()
 
     for child in node.children:
-        if isinstance(child, str) or (child.tag not in BLOCK and not (depth < 60 and child.first(*BLOCK - {"html", "body"}))):
-            run.append(_inline(child))
+        if isinstance(child, str) or (child.tag not in BLOCK and id(child) not in holders):
+            run.append((yield _inline(child)))
             continue
         flush()
         tag = child.tag
         if tag in SILENT or tag in ("head", "title"):
             continue
         if re.fullmatch("h[1-6]", tag):
-            if text := " ".join(_inline(child).split()):
+            if text := " ".join((yield _inline(child)).split()):
                 out.append("#" * int(tag[1]) + " " + text)
         elif tag == "pre":
             inner = child.first("code") or child
@@ -315,17 +344,13 @@ def _blocks(node: Node, depth: int, out: list[str]) -> None:
         elif tag in ("ul", "ol"):
             lines = []
             for n, li in enumerate([c for c in child.children if isinstance(c, Node) and c.tag == "li"], 1):
-                inside: list[str] = []
-                _blocks(li, depth + 1, inside)
                 mark = f"{n}. " if tag == "ol" else "- "
-                text = "\n".join(inside) or ""
+                text = "\n".join((yield _blocks(li, holders)))
                 lines.append(mark + text.replace("\n", "\n" + " " * len(mark)))
             if lines:
                 out.append("\n".join(lines))
         elif tag == "blockquote":
-            inside = []
-            _blocks(child, depth + 1, inside)
-            if inside:
+            if inside := (yield _blocks(child, holders)):
                 out.append("> " + "\n\n".join(inside).replace("\n", "\n> "))
         elif tag == "table":
             found = tables(child)
@@ -335,18 +360,16 @@ def _blocks(node: Node, depth: int, out: list[str]) -> None:
             out.append("---")
         elif tag == "dl":
             out += [f"**{t}**\n: {d}" for t, d in definitions(child)]
-        elif depth >= 200:
-            run.append(child.text())
         else:
-            _blocks(child, depth + 1, out)
+            out += yield _blocks(child, holders)
     flush()
+    return out
 
 
 def to_markdown(html: str, front: bool = False) -> str:
     """Markdown of a page, under its title unless the body has a first-level heading; front matter of its metadata on request."""
     root = parse(html)
-    out: list[str] = []
-    _blocks(root.first("body") or root, 0, out)
+    out = _done(_blocks(root.first("body") or root, _holders(root)))
     title = root.first("title")
     name = title.text() if title is not None else ""
     if name and not any(x.startswith("# ") for x in out):

@@ -49,14 +49,16 @@ def extract(html: Column, *parts: str) -> Column:
         for pages in batches:
             rows = []
             for page in pages:
-                root = ht.parse(page) if page else None
-                rows.append([None if root is None else _plain(_PARTS[p](root), EXTRACT[p].dataType) for p in wanted])
+                root = _attempt(ht.parse, page)[0] if page else None
+                rows.append([None if root is None else _plain(_attempt(_PARTS[p], root)[0], EXTRACT[p].dataType) for p in wanted])
             yield pd.DataFrame(rows, columns=list(wanted))
 
     return run(html)
 
 
 def _plain(value, kind: T.DataType):
+    if value is None:
+        return None
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
         names = kind.elementType.names
         return [
@@ -65,20 +67,30 @@ def _plain(value, kind: T.DataType):
     return value
 
 
-def _text_udf(f):
-    @F.pandas_udf(T.StringType())
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: None if p is None else f(p))
+def _attempt(f, *values):
+    """(result, error): a page that can't be read is a row with an error, never a failed job."""
+    try:
+        return f(*values), None
+    except Exception as e:
+        return None, f"{type(e).__name__}: {e}"[:300]
+
+
+def _text_udf(f, name: str):
+    @F.pandas_udf(_struct(**{name: _S, "error": _S}))
+    def run(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if p is None else _attempt(f, p) for p in pages], columns=[name, "error"])
 
     return run
 
 
 def to_markdown(html: Column) -> Column:
-    return _text_udf(ht.to_markdown)(html)
+    """Struct (markdown, error)."""
+    return _text_udf(ht.to_markdown, "markdown")(html)
 
 
 def to_text(html: Column) -> Column:
-    return _text_udf(ht.to_text)(html)
+    """Struct (text, error)."""
+    return _text_udf(ht.to_text, "text")(html)
 
 
 def comments(html: Column) -> Column:
@@ -176,11 +188,11 @@ def q_stripped(spark, folder):
 
 
 def q_markdown(spark, folder):
-    return pages(spark, folder).select("resource_id", to_markdown(F.col("html")).alias("markdown"))
+    return pages(spark, folder).select("resource_id", to_markdown(F.col("html")).alias("r")).select("resource_id", "r.markdown", "r.error")
 
 
 def q_text(spark, folder):
-    return pages(spark, folder).select("resource_id", to_text(F.col("html")).alias("text"))
+    return pages(spark, folder).select("resource_id", to_text(F.col("html")).alias("r")).select("resource_id", "r.text", "r.error")
 
 
 QUERIES = {

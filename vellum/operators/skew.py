@@ -24,7 +24,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], weights: Data
     hot = weights.where(F.col(weight) > least).select(
         *keys, F.ceil(F.col(weight) / F.lit(least)).cast("int").alias("_parts")
     )
-    hot = F.broadcast(hot.limit(HOT_SHARE))
+    hot = F.broadcast(hot)  # fewer than HOT_SHARE rows, as their weights sum to the total at most
     # by the row itself and not by chance: a task that is run again must send its rows where it sent them before
     spread_by = F.xxhash64(*[F.col(c) for c in key_columns(big)])
     left = big.join(hot, keys, "left").withColumn(

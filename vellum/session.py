@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -39,9 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="vellum-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     context.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
 

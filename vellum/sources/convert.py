@@ -122,13 +122,14 @@ def from_ods(data: bytes) -> str:
     for table in (n for n in _odf(data).iter() if _local(n.tag) == "table"):
         rows = []
         for row in (n for n in table.iter() if _local(n.tag) == "table-row"):
-            cells: list[str] = []
-            for c in row:
-                if _local(c.tag) == "table-cell":
-                    text = " ".join("".join(c.itertext()).split())
-                    cells += [text] * (min(int(_attr(c, "number-columns-repeated") or 1), 64) if text else 1)
-            if any(cells):
-                rows.append(cells)
+            runs = [
+                (" ".join("".join(c.itertext()).split()), int(_attr(c, "number-columns-repeated") or 1))
+                for c in row if _local(c.tag) in ("table-cell", "covered-table-cell")
+            ]
+            while runs and not runs[-1][0]:  # sheets end in a run of empty cells up to the last possible column
+                runs.pop()
+            if runs:
+                rows += [[text for text, times in runs for _ in range(times)]] * int(_attr(row, "number-rows-repeated") or 1)
         if rows:
             width = max(map(len, rows))
             out.append(f"## {_attr(table, 'name') or 'Sheet'}\n\n" + ht.pipe_table([r + [""] * (width - len(r)) for r in rows]))
@@ -143,9 +144,17 @@ def from_xlsx(data: bytes) -> str:
         root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
         strings = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in root if _local(si.tag) == "si"]
     sheets = [s for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if _local(s.tag) == "sheet"]
+    links = {}
+    if "xl/_rels/workbook.xml.rels" in names:
+        links = {r.attrib.get("Id"): r.attrib.get("Target", "") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
     files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
     out = []
-    for sheet, file in zip(sheets, files):
+    for n, sheet in enumerate(sheets):
+        # a sheet's file is named by the workbook's relations; by their order in a book without them
+        target = links.get(next((v for k, v in sheet.attrib.items() if k.startswith("{") and _local(k) == "id"), None))
+        file = (target.lstrip("/") if target.startswith("/") else "xl/" + target) if target else files[n] if n < len(files) else ""
+        if file not in names:
+            continue
         rows = []
         for row in (n for n in ElementTree.fromstring(book.read(file)).iter() if _local(n.tag) == "row"):
             cells: list[str] = []
@@ -309,13 +318,18 @@ from_textile = _per_line([
 
 def from_org(data: bytes) -> str:
     out = []
+    code = False  # lines of a source block stay as they are
     for line in decoded(data).splitlines():
+        if code:
+            code = re.match(r"\s*#\+(?:END_SRC|end_src)", line) is None
+            out.append(line if code else "```")
+            continue
         if m := re.match(r"#\+(?:TITLE|title):\s*(.+)", line):
             line = f"# {m.group(1)}"
-        elif m := re.match(r"#\+(?:BEGIN_SRC|begin_src)\s*(\w*)", line):
-            line = f"```{m.group(1)}"
-        elif re.match(r"#\+(?:END_SRC|end_src)", line):
-            line = "```"
+        elif m := re.match(r"\s*#\+(?:BEGIN_SRC|begin_src)\s*(\S*)", line):
+            out.append(f"```{m.group(1)}")
+            code = True
+            continue
         elif m := re.match(r"(\*+)\s+(.+)", line):
             line = "#" * len(m.group(1)) + " " + m.group(2)
         elif line.startswith("#+"):
@@ -367,8 +381,8 @@ CONVERTERS: dict[str, Callable[[bytes], str]] = {
 UNREADABLE = frozenset("pdf xls ppt msg mobi azw azw3".split())
 
 
-def convert(ext: str | None, data: bytes | None) -> tuple[str | None, str | None]:
-    """(markdown, error) of one file."""
+def convert(ext: str | None, data: bytes | None, limit: int | None = LIMIT) -> tuple[str | None, str | None]:
+    """(markdown, error) of one file; structured formats of more than ``limit`` bytes have an error, without a limit none has."""
     if data is None:
         return None, None
     ext = (ext or "").lower()
@@ -376,8 +390,8 @@ def convert(ext: str | None, data: bytes | None) -> tuple[str | None, str | None
         return None, f"no reader for {ext}"
     try:
         if ext in CONVERTERS:
-            if len(data) > LIMIT:
-                return None, f"{len(data)} bytes; at most {LIMIT} are converted"
+            if limit is not None and len(data) > limit:
+                return None, f"{len(data)} bytes; at most {limit} are converted"
             return CONVERTERS[ext](bytes(data)), None
         text = decoded(bytes(data))
         return (fenced(text, _LANGUAGE[ext]) if ext in _LANGUAGE else text), None
@@ -388,12 +402,12 @@ def convert(ext: str | None, data: bytes | None) -> tuple[str | None, str | None
 RESULT = T.StructType([T.StructField("markdown", T.StringType()), T.StructField("error", T.StringType())])
 
 
-def to_markdown(ext: Column, content: Column) -> Column:
-    """Struct (markdown, error) of a file's content."""
+def to_markdown(ext: Column, content: Column, limit: int | None = LIMIT) -> Column:
+    """Struct (markdown, error) of a file's content; ``limit`` as in :func:`convert`."""
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for exts, contents in batches:
-            yield pd.DataFrame([convert(e, c) for e, c in zip(exts, contents)], columns=["markdown", "error"])
+            yield pd.DataFrame([convert(e, c, limit) for e, c in zip(exts, contents)], columns=["markdown", "error"])
 
     return run(ext, content)

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.sources.convert import to_markdown
+from vellum.sources.convert import LIMIT, to_markdown
 
 # What a scan leaves out, what counts as a note.
 SKIPPED = r"/(\.[^/]*|target|node_modules|__pycache__|\.git|dist|build|venv)/"
 NOTES = ("md", "markdown", "mdown", "txt")
-STRUCTURED_LIMIT = 10 * 1024 * 1024
 
 
 def extension(path: Column) -> Column:
@@ -25,13 +24,13 @@ def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] | None =
     return rows.where(F.col("ext").isin(*extensions)) if extensions else rows
 
 
-def corpus(spark: SparkSession, folder: str) -> DataFrame:
+def corpus(spark: SparkSession, folder: str, limit: int | None = LIMIT) -> DataFrame:
     """(path, ext, mtime, n_bytes, markdown, error): every file as Markdown; what can't be converted has an error instead.
 
-    Structured formats above ``STRUCTURED_LIMIT`` bytes are refused, as they must be held whole.
+    Structured formats above ``limit`` bytes have an error, as they must be held whole; without a limit all are converted.
     """
     rows = scan(spark, folder)
-    done = to_markdown(F.col("ext"), F.col("content"))
+    done = to_markdown(F.col("ext"), F.col("content"), limit)
     return rows.select("path", "ext", "mtime", "n_bytes", done.alias("r")).select("path", "ext", "mtime", "n_bytes", "r.markdown", "r.error")
 
 
