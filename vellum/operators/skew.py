@@ -11,15 +11,18 @@ from vellum.tables import key_columns
 HOT_SHARE = 400
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], weights: DataFrame, weight: str, how: str = "inner") -> DataFrame:
-    """Join ``big`` with ``small`` (at most one row a key) on ``keys``, splitting hot keys.
+def salted_join(
+    big: DataFrame, small: DataFrame, keys: list[str], weights: DataFrame, weight: str, how: str = "inner", total: int | None = None
+) -> DataFrame:
+    """Join ``big`` with ``small`` on ``keys``, splitting hot keys of ``big``. ``total`` is the sum of the weights, if known.
 
     ``weights`` has one row per key with its number of ``big`` rows. A key that holds more than one
     in ``HOT_SHARE`` of all rows is hot, so there are fewer than ``HOT_SHARE`` of them and their list
     may be broadcast. Rows of a hot key go to as many partitions as its share asks for; its row of
     ``small`` is repeated as often. Other keys are joined as they are.
     """
-    total = weights.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = weights.agg(F.sum(weight)).first()[0] or 0
     least = max(2000, total // HOT_SHARE)
     hot = weights.where(F.col(weight) > least).select(
         *keys, F.ceil(F.col(weight) / F.lit(least)).cast("int").alias("_parts")
