@@ -222,6 +222,27 @@ def test_groups_settle_whatever_the_rounds(spark, monkeypatch):
     assert made.links.count() >= 23 and {r.group_id for r in made.groups().collect()} == {0}
 
 
+def test_crowded_bands_are_split_without_loss(spark, monkeypatch):
+    """A family of near copies and one of exact copies, with hardly any record allowed to meet another unsplit."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in range(30)] + [" ".join(words)] * 40
+    texts += [" ".join(f"v{i}" for i in rng.integers(0, 30, 25)) for _ in range(60)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    documents = spark.createDataFrame([(1, {"a": 1}), (2, None)], "doc_id long, tf map<string,bigint>")
+    sets = neardup.sets_of(documents, chunks)
+    terms = [set(t.split()) for t in texts]
+    want = {(i, j) for i in range(len(terms)) for j in range(i + 1, len(terms)) if len(terms[i] & terms[j]) >= 0.8 * len(terms[i] | terms[j])}
+    want = {(i, j) for i, j in want if min(len(terms[i]), len(terms[j])) >= 10}
+    monkeypatch.setattr(neardup, "HOT", 5)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    found = neardup.NearDuplicates(sets)
+    got = [(r.id_a, r.id_b) for r in found.pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want)
+    groups = {r.id: (r.group_id, r.n_links) for r in found.groups().collect()}
+    assert {groups[i][0] for i in range(70)} == {0} and groups[69][1] == 30 and groups[30] == groups[69]
+
+
 # --- p6
 
 

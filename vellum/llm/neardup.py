@@ -3,15 +3,17 @@
 Method, tensored banding: each of two small collections holds ``ROWS``-long bands of minhashes, and a table's
 key is a pair of one band from either, so ``BANDS`` squared tables of ``2 x ROWS`` hashes cost only
 ``2 x BANDS x ROWS`` minhashes. A pair of records is a candidate if it agrees in a key of any table. The
-tables are not written out: records meet on the band of the first collection, and the second half of the
-key is compared in the join, so each record is shuffled ``BANDS`` times, not ``BANDS`` squared.
+tables are not all written out: records meet on the band of the first collection, and the second half of the
+key is compared in the join, so most records are shuffled ``BANDS`` times, not ``BANDS`` squared. Only where more than ``HOT``
+records share a first band (minhashes that fell on common terms) do they go to the full keys of both bands, and where more
+than ``BLOCK`` share a full key they are split into blocks, every block meeting every other. Both keep all candidates.
 
 A pair of similarity s meets with probability ``(1 - (1 - s^ROWS)^BANDS)^2``: 0.9969 at 0.8, 0.9997 at 0.85.
 Candidates must have sizes and a 128-bit one-bit minhash sketch that similarity 0.8 allows (the sketch
 bound lies 4.5 standard deviations out); the rest is verified exactly on the sets.
 
 Records with equal sets form a class first; only one of a class is hashed into tables, so a group of
-copies of any size costs one record. Sets are compared by 64-bit hashes of their terms.
+copies of any size costs one record. Sets are compared by 64-bit hashes of their terms. Joins on classes are salted by their sizes.
 
 Null terms and sets of fewer than ``LEAST_TERMS`` distinct terms take no part. Rows repeated with the same id
 count once.
@@ -20,12 +22,14 @@ count once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.operators.skew import salted_join
 from vellum.session import materialize
 from vellum.tables import load, spread
 
@@ -34,6 +38,11 @@ LEAST_TERMS = 10
 ROWS = 3
 BANDS = 9
 SKETCH = 128
+#: Records that may meet on a first band, and on a full key, before they are split further.
+HOT = 256
+BLOCK = 2048
+#: Hot keys are broadcast up to this many (24 bytes each), else joined by shuffle.
+MAX_BROADCAST_KEYS = 300_000
 #: Candidate ids are broadcast to the scan that fetches their sets up to this many, else joined by shuffle.
 MAX_BROADCAST_IDS = 500_000
 
@@ -140,45 +149,51 @@ class NearDuplicates:
         self.similarity = similarity
         # every class is led by its least id; its signature is the same for all members
         signed = materialize(signed, "neardup-signed")
-        leader = signed.groupBy("tbl", "set_a", "set_b").agg(F.min("id").alias("class_id"))
+        of = ["tbl", "set_a", "set_b"]
+        leader = materialize(signed.groupBy(*of).agg(F.min("id").alias("class_id"), F.count("*").alias("size")), "neardup-leaders")
         self.members = materialize(
-            signed.select("tbl", "id", "set_a", "set_b")
-            .join(leader, ["tbl", "set_a", "set_b"])
+            salted_join(signed.select("tbl", "id", "set_a", "set_b"), leader.drop("size"), of, leader, "size")
             .select("tbl", "id", "class_id")
             .distinct(),
             "neardup-members",
         )
+        self.sizes = leader.select("tbl", "class_id", "size")
         leaders = signed.join(
             leader.select("tbl", F.col("class_id").alias("id")).distinct(), ["tbl", "id"], "left_semi"
         ).dropDuplicates(["tbl", "id"])
         self.links = materialize(self._verified(sets, self._candidates(leaders)), "neardup-links")
 
     def _candidates(self, leaders: DataFrame) -> DataFrame:
-        rows = leaders.select(
-            "tbl", "id", "n_terms", "second", "s0", "s1", F.posexplode("first").alias("band", "key")
-        )
-        a, b = rows.alias("a"), rows.alias("b")
+        first = leaders.select("tbl", "id", "n_terms", "second", "s0", "s1", F.posexplode("first").alias("band", "key"))
+        hot = _crowded(first, HOT)
+        marked = _marked(first, hot)
+        # the full keys of hot first bands, one for each band of the second collection
+        full = marked.where("n is not null").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
+        full = full.withColumn("key", F.xxhash64("key", "band", "j", F.get("second", F.col("j")))).withColumn("band", F.lit(BANDS)).drop("n", "j")
+        cells = materialize(marked.where("n is null").drop("n").unionByName(full), "neardup-cells")
+        crowd = _crowded(cells.where(F.col("band") == BANDS), BLOCK)
+        marked = _marked(cells, crowd)
+        calm, packed = marked.where("n is null").drop("n"), marked.where("n is not null")
+        found = self._meet(calm, calm, [])
+        if not crowd.isEmpty():
+            parts = F.ceil(F.col("n") / BLOCK).cast("int")
+            packed = packed.withColumn("own", F.pmod(F.xxhash64("id", F.lit(9)), parts).cast("int"))
+            other = F.explode(F.sequence(F.lit(0), parts - 1))
+            left = packed.withColumn("x", F.col("own")).withColumn("y", other).drop("n", "own")
+            right = packed.withColumn("y", F.col("own")).withColumn("x", other).drop("n", "own")
+            found = found.unionByName(self._meet(left, right, ["x", "y"]))
+        return found.distinct()
+
+    def _meet(self, left: DataFrame, right: DataFrame, also: list[str]) -> DataFrame:
+        """(tbl, a, b): rows of equal cells that size, sketch and second bands allow to be similar enough."""
+        a, b = left.alias("a"), right.alias("b")
         size = lambda x, y: F.col(x) >= F.col(y) * F.lit(self.similarity)
         differ = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
-        same = [F.get("a.second", F.lit(i)) == F.get("b.second", F.lit(i)) for i in range(BANDS)]
-        second = same[0]
-        for s in same[1:]:
-            second = second | s
-        return (
-            a.join(
-                b,
-                (F.col("a.tbl") == F.col("b.tbl"))
-                & (F.col("a.band") == F.col("b.band"))
-                & (F.col("a.key") == F.col("b.key"))
-                & (F.col("a.id") < F.col("b.id"))
-                & size("a.n_terms", "b.n_terms")
-                & size("b.n_terms", "a.n_terms")
-                & (differ <= sketch_bound(self.similarity))
-                & second,
-            )
-            .select(F.col("a.tbl").alias("tbl"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-            .distinct()
-        )
+        second = reduce(lambda x, y: x | y, [F.get("a.second", F.lit(i)) == F.get("b.second", F.lit(i)) for i in range(BANDS)])
+        same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("tbl", "band", "key", *also)])
+        able = size("a.n_terms", "b.n_terms") & size("b.n_terms", "a.n_terms") & (differ <= sketch_bound(self.similarity)) & second
+        pairs = a.join(b, same & (F.col("a.id") < F.col("b.id")) & able)
+        return pairs.select(F.col("a.tbl").alias("tbl"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
     def _verified(self, sets: DataFrame, candidates: DataFrame) -> DataFrame:
         candidates = materialize(candidates, "neardup-candidates")
@@ -201,10 +216,11 @@ class NearDuplicates:
         """(tbl, id_a, id_b): all pairs of records, copies included, as the problem defines its result."""
         m = self.members
         other = lambda x: m.select("tbl", F.col("id").alias(f"id_{x}"), F.col("class_id").alias(x))
-        between = self.links.join(other("a"), ["tbl", "a"]).join(other("b"), ["tbl", "b"])
-        within = (
-            other("a").join(other("b").withColumnRenamed("b", "a"), ["tbl", "a"]).where(F.col("id_a") < F.col("id_b"))
-        )
+        sizes = lambda x: self.sizes.withColumnRenamed("class_id", x)
+        between = salted_join(other("a"), self.links, ["tbl", "a"], sizes("a"), "size")
+        between = salted_join(other("b"), between, ["tbl", "b"], sizes("b"), "size")
+        within = salted_join(other("a"), other("b").withColumnRenamed("b", "a"), ["tbl", "a"], sizes("a"), "size")
+        within = within.where(F.col("id_a") < F.col("id_b"))
         columns = ["tbl", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")]
         return between.select(*columns).unionByName(within.select(*columns))
 
@@ -215,12 +231,14 @@ class NearDuplicates:
         Labels only fall and are ids of the records, so the rounds end; they go on until none changes."""
         edges = self.links.select("tbl", F.col("a").alias("x"), F.col("b").alias("y"))
         edges = materialize(edges.unionByName(edges.select("tbl", F.col("y").alias("x"), F.col("x").alias("y"))), "neardup-edges")
-        degree = edges.groupBy("tbl", F.col("x").alias("class_id")).agg(F.count("*").alias("n_links"))
+        degree = materialize(edges.groupBy("tbl", F.col("x").alias("class_id")).agg(F.count("*").alias("n_links")), "neardup-degree")
+        n_edges = edges.count()
+        far_ends = degree.select("tbl", F.col("class_id").alias("y"), "n_links")
         label = materialize(edges.groupBy("tbl", "x").agg(F.least(F.min("y"), F.col("x")).alias("g")), "neardup-label")
         while True:
             # the least label among the neighbours, then the label of that label
             near = (
-                edges.join(label.select("tbl", F.col("x").alias("y"), "g"), ["tbl", "y"])
+                salted_join(edges, label.select("tbl", F.col("x").alias("y"), "g"), ["tbl", "y"], far_ends, "n_links", total=n_edges)
                 .groupBy("tbl", "x")
                 .agg(F.min("g").alias("near"))
             )
@@ -235,20 +253,29 @@ class NearDuplicates:
             label = new.select("tbl", "x", "g")
             if new.where(F.col("old") != F.col("g")).isEmpty():
                 break
-        named = label.withColumnRenamed("x", "class_id").withColumnRenamed("g", "group_id")
-        return (
-            self.members.join(named, ["tbl", "class_id"], "left")
-            .join(degree, ["tbl", "class_id"], "left")
-            .select(
-                "tbl",
-                "id",
-                "class_id",
-                F.coalesce("group_id", "class_id").alias("group_id"),
-                F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-            )
+        named = label.select("tbl", F.col("x").alias("class_id"), F.col("g").alias("group_id")).join(degree, ["tbl", "class_id"])
+        return salted_join(self.members, named, ["tbl", "class_id"], self.sizes, "size", "left").select(
+            "tbl",
+            "id",
+            "class_id",
+            F.coalesce("group_id", "class_id").alias("group_id"),
+            F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         )
 
 
+def _crowded(rows: DataFrame, most: int) -> DataFrame:
+    """(tbl, band, key, n) of the keys that more than ``most`` rows hold, counted on the map side first."""
+    return materialize(rows.groupBy("tbl", "band", "key").agg(F.count("*").alias("n")).where(F.col("n") > most), "neardup-crowded")
+
+
+def _marked(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``rows`` with the count of their key if it is crowded, else null."""
+    keys = ["tbl", "band", "key"]
+    if crowded.count() <= MAX_BROADCAST_KEYS:
+        return rows.join(F.broadcast(crowded), keys, "left")
+    return salted_join(rows, crowded, keys, crowded, "n", "left")
+
+
 def _of(spark: SparkSession, folder: str) -> NearDuplicates:
     documents = load(spark, folder, "documents").select("doc_id", "tf")
     chunks = load(spark, folder, "chunks").select("chunk_id", "text")
