@@ -34,7 +34,7 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<self>/?)(?:>|\Z)",
     re.S,
 )
-_CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+_CHARSET = re.compile(rb"<(?:meta|\?xml)\b[^>]*?\b(?:charset|encoding)\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 _JUMP = re.compile(r"\bhref\s*=\s*[\"']?#[\"'\s]?(?:$|[\s\"'])", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -62,7 +62,7 @@ def decode(data: bytes | None) -> str:
     data = bytes(data)
     if data.startswith(b"\xef\xbb\xbf"):
         return data[3:].decode("utf-8", "replace")
-    named = _CHARSET.search(data[:2048])
+    named = _CHARSET.search(data)
     name = named.group(1).decode("ascii", "replace").lower() if named else ""
     for encoding in (name, "utf-8") if name else ("utf-8",):
         try:

@@ -5,7 +5,7 @@ Method, a recurrent block labeller: a page is read as the sequence of its leaf b
 share, place), all taken from the whole block; a bidirectional LSTM in numpy reads the whole
 sequence both ways and labels every block as article or not, so a block is judged by all that stands around it.
 
-No page comes labelled. The network is trained on a bounded sample of pages (``TRAIN_PAGES``, taken by a hash of their id)
+No page comes labelled. The network is trained on a bounded sample of pages (about ``TRAIN_PAGES``, taken by a hash of their id)
 that :func:`seed` labels by their structure; seeding uses what a page's tags say, which not every page says clearly, so tags, marks
 and words are randomly hidden in training, and the network learns to judge by the rest. It is trained on the driver at the
 start of a run, from a fixed seed, and broadcast: some tens of thousands of numbers.
@@ -29,8 +29,8 @@ from vellum.llm.blocks import Block, blocks, decode
 from vellum.tables import load, spread
 
 TRAIN_PAGES = 900
-#: Longer pages are labelled like all others, but not trained on.
-MAX_TRAIN_BLOCKS = 400
+#: Longer pages are trained on in windows of so many blocks, whose measures are those of the whole page.
+TRAIN_BLOCKS = 400
 EPOCHS = 12
 HIDDEN = 40
 TAG_BUCKETS, WORD_BUCKETS, WIDTH = 1024, 4096, 20
@@ -190,7 +190,7 @@ def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Bag
         shared = len(set(b.ids) & set(before.ids)) if before else 0
         num[k] = [
             np.log(size) / 5, b.linked / size, min(b.links, 6) / 6, min(b.jumps, 3) / 3, b.bold_first, b.image, b.span,
-            _DATE.search(text) is not None, text[-1:] in ".!?…", "©" in text, "»" in text or "|" in text, ":" in text[:24],
+            _DATE.search(text) is not None, text[-1:] in ".!?…", "©" in text, "»" in text or "|" in text, 1 / (1 + text.index(":") / 12) if ":" in text else 0.0,
             len(b.path) / 6, k / n, (n - k) / n, k / 40, own in parents, np.log1p(inside.get(own, 0)) / 3,
             np.log1p(inside.get(up, 0)) / 3, np.log1p(inside.get(top, 0)) / 3, linked.get(top, 0) / max(1, chars.get(top, 0)),
             linked.get(up, 0) / max(1, chars.get(up, 0)), own in with_h1 or up in with_h1, top in with_h1,
@@ -237,6 +237,13 @@ class Labeller:
             self.p["b" + d][hidden : 2 * hidden] = 1
         self.hidden = hidden
 
+    @classmethod
+    def of(cls, numbers: dict[str, np.ndarray]) -> Labeller:
+        """A labeller that was trained before."""
+        model = cls.__new__(cls)
+        model.p, model.hidden = numbers, len(numbers["hf"])
+        return model
+
     def _inputs(self, tags, words, num, bag=None):
         nt = np.maximum(1, (tags > 0).sum(-1, keepdims=True))
         nw = np.maximum(1, (words > 0).sum(-1, keepdims=True))
@@ -335,18 +342,30 @@ def _padded(pages: list[tuple], labels: list[list[int]] | None = None):
     return tags, words, num, mask, y, _joined(bags)
 
 
+def _windows(made: tuple, labels: list[int], size: int = TRAIN_BLOCKS) -> list[tuple[tuple, list[int]]]:
+    """The features and labels of a page, cut into windows of at most ``size`` blocks."""
+    tags, words, num, (at, term, share) = made
+    out = []
+    for low in range(0, len(labels), size):
+        high = low + size
+        inside = (at >= low) & (at < high)
+        bag = (at[inside] - low, term[inside], share[inside])
+        out.append(((tags[low:high], words[low:high], num[low:high], bag), labels[low:high]))
+    return out
+
+
 def train(pages: list[list[Block]], epochs: int = EPOCHS, random: int = 5) -> Labeller:
     """A labeller trained on the pages that can be seeded."""
     rng = np.random.default_rng(random)
-    pages = [p for p in pages if p and len(p) <= MAX_TRAIN_BLOCKS]
+    pages = [p for p in pages if p]
     model = Labeller(random=random)
     if not pages:
         return model
     # pages of a rare layout are repeated, so that each layout has a fair share
     layouts = [layout(p) for p in pages]
     times = {k: min(6, max(1, round(len(pages) / (12 * layouts.count(k))))) for k in set(layouts)}
-    made = [(features(p), seed(p)) for p in pages]
-    seeded = [m for m, k in zip(made, layouts) for _ in range(times[k])]
+    made = [_windows(features(p), seed(p)) for p in pages]
+    seeded = [w for m, k in zip(made, layouts) for _ in range(times[k]) for w in m]
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
     step = 0
@@ -411,9 +430,25 @@ def html_resources(resources: DataFrame) -> DataFrame:
 
 
 def fit(resources: DataFrame, most: int = TRAIN_PAGES) -> Labeller:
-    """A labeller fitted on at most ``most`` pages, those whose ids hash lowest."""
-    sample = resources.orderBy(F.xxhash64("resource_id"), "resource_id").limit(most).collect()
-    return train([page_blocks(r["data"]) for r in sample])
+    """A labeller fitted on about ``most`` pages, the same ones at every run: those whose ids hash low enough.
+
+    The share to take follows from a count of the ids, so only the pages of the sample are brought over. It may be kept with
+    :func:`save` and given to later runs."""
+    n = resources.select("resource_id").distinct().count()
+    part = 1 << 30
+    low = F.pmod(F.xxhash64("resource_id", F.lit(4)), F.lit(part)) < int(part * min(1.0, most / max(1, n)))
+    sample = resources.where(low).dropDuplicates(["resource_id"]).collect()
+    return train([page_blocks(r["data"]) for r in sorted(sample, key=lambda r: (r["resource_id"], bytes(r["data"])))])
+
+
+def save(model: Labeller, path: str) -> None:
+    """Keep a labeller's numbers in a file."""
+    np.savez_compressed(path, **model.p)
+
+
+def restore(path: str) -> Labeller:
+    with np.load(path) as kept:
+        return Labeller.of(dict(kept))
 
 
 def main_body_lines(resources: DataFrame, model: Labeller | None = None) -> DataFrame:
@@ -422,8 +457,7 @@ def main_body_lines(resources: DataFrame, model: Labeller | None = None) -> Data
     shared = resources.sparkSession.sparkContext.broadcast((model or fit(pages)).p)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = Labeller()
-        net.p = shared.value
+        net = Labeller.of(shared.value)
         for batch in batches:
             for start in range(0, len(batch), 256):
                 some = batch.iloc[start : start + 256]

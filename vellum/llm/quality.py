@@ -254,10 +254,10 @@ def describe(text: str | None) -> dict:
     length_period = max(length_autocorrelation, *(_autocorrelation(sizes, lag) for lag in (2, 3)))
     as_entries = len(words) > 2 and _entry_score(lines, tokens, words, indent_period, length_period, ratios) >= ENTRIES
     weight = {"prose": 0, "list": 0, "table": 0, "junk": 0}
-    repeated = Counter(lines) if n > 3 else {}
+    repeated = Counter(lines)
     paragraph = False  # whether the line before belongs to running text
     for i, kind in enumerate(own):
-        if kind != "row" and sizes[i] > 8 and repeated and repeated[lines[i]] >= 4:
+        if kind != "row" and sizes[i] > 8 and repeated[lines[i]] >= 4:
             kind = "junk"
         elif same[i] and kind in ("short", "loose", "item", "prose") and _row_like(kind, marks[i], len(tokens[i]), lines[i]):
             kind = "row"
@@ -279,9 +279,7 @@ def describe(text: str | None) -> dict:
             weight["prose" if rest else "list"] += sizes[i]
         paragraph = kind == "prose"
     total = sum(weight.values())
-    grams = 0.0
-    if len(words_) > 24:
-        grams = 1 - len(set(zip(words_, words_[1:], words_[2:], words_[3:]))) / (len(words_) - 3)
+    grams = 1 - len(set(zip(words_, words_[1:], words_[2:], words_[3:]))) / max(1, len(words_) - 3) if len(words_) > 3 else 0.0
     kind = "prose"
     if grams > 0.6 and (n < 3 or weight["table"] + weight["list"] < 0.5 * total):
         kind = "junk"
