@@ -7,9 +7,10 @@ of all tables are merged and reranked by exact cosine.
 
 Two uses of the one index:
 
-* :func:`close_pairs` finds, for every vector, the neighbours of at least a given cosine. Only (bucket, id, 128 sign bits)
-  are shuffled; the bits drop candidates that can't be close (bound 5 standard deviations out), and vectors are joined
-  to what is left.
+* :func:`close_pairs` finds, for every vector, the neighbours of at least a given cosine. Every vector goes to its few likeliest
+  buckets of each table, so a pair meets if any bucket of the one is any of the other: few probes on both sides stand for their
+  square on one side. Only (bucket, id, 128 sign bits) are shuffled; the bits drop candidates that can't be close (bound 4 standard
+  deviations out), and vectors are joined to what is left. Buckets of more than ``BLOCK`` rows are split into blocks.
 * :func:`nearest` answers a query set with the k nearest. Vectors travel with their buckets and a bucket's queries and
   rows meet as matrices. A bucket is worked off in blocks of at most ``BLOCK`` rows and queries, so a hot one is split.
 
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum.llm import cells
 from vellum.session import materialize
 from vellum.tables import load, spread
 
@@ -41,9 +43,37 @@ COSINE = 0.9
 QUERY_EVERY = 50
 BLOCK = 4096
 
-#: (tables, functions, width, probes) for close pairs and for the k nearest.
-CLOSE = (8, 10, 1.4, 12)
-NEAR = (4, 4, 1.1, 60)
+#: Width of cells and probes of a table for close pairs, and the share of pairs at exactly the cosine that the tables must find.
+CLOSE_WIDTH, CLOSE_PROBES, CLOSE_RECALL = 2.0, 5, 0.985
+
+
+def close_index(rows: int, cosine: float) -> tuple[int, int, float, int]:
+    """(tables, functions, width, probes) for close pairs among so many rows.
+
+    One function more for each doubling keeps the buckets as small as they are; tables are added until, of random pairs at
+    exactly the cosine, the share ``CLOSE_RECALL`` meets.
+    """
+    functions = 12 + max(0, round(np.log2(max(1, rows) / 500_000)))
+    rng = np.random.default_rng(11)
+    x, y = (rng.standard_normal((4000, DIMENSION)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    none = np.zeros(len(x), np.uint64)
+    tables = 4
+    while True:
+        a, b = (buckets(v, none, tables, functions, CLOSE_WIDTH, CLOSE_PROBES) for v in (x, y))
+        if (a[..., :, None] == b[..., None, :]).any((1, 2, 3)).mean() >= CLOSE_RECALL:
+            return tables, functions, CLOSE_WIDTH, CLOSE_PROBES
+        tables += 1
+
+
+def near_index(rows: int) -> tuple[int, int, float, int]:
+    """(tables, functions, width, probes) for the k nearest among so many rows: one function more for each threefold of the rows,
+    and twice the probes with it, so that a query visits a share of the rows that falls as they grow."""
+    more = max(0, round(np.log(max(1, rows) / 200_000) / np.log(3)))
+    return 4, 4 + more, 1.1, 60 << min(more, 6)
+
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _PLANES = np.random.default_rng(77).standard_normal((DIMENSION, 128))
@@ -117,7 +147,7 @@ def signs(x: np.ndarray) -> np.ndarray:
 
 def sign_bound(cosine: float) -> int:
     p = float(np.arccos(cosine) / np.pi)
-    return int(128 * p + 5 * (128 * p * (1 - p)) ** 0.5)
+    return int(128 * p + 4 * (128 * p * (1 - p)) ** 0.5)
 
 
 def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
@@ -168,9 +198,9 @@ def unit_classes(vectors: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
     return materialize(classes, "knn-classes"), materialize(members, "knn-members")
 
 
-def close_pairs(classes: DataFrame, cosine: float = COSINE, index: tuple = CLOSE) -> DataFrame:
+def close_pairs(classes: DataFrame, cosine: float = COSINE, index: tuple | None = None) -> DataFrame:
     """(a, b, cosine) with a < b: classes of the same model at least that close."""
-    tables, functions, width, probes = index
+    tables, functions, width, probes = index or close_index(classes.count(), cosine)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,10 +210,7 @@ def close_pairs(classes: DataFrame, cosine: float = COSINE, index: tuple = CLOSE
             model = np.array([hash_name(m) for m in batch.column("model").to_pylist()], np.uint64)
             keys = buckets(x, model, tables, functions, width, probes)
             s = signs(x)
-            n, each = len(x), keys.shape[2]
-            ends = pa.array(np.arange(n + 1, dtype=np.int32) * (tables * each))
-            first = np.zeros((tables, each), bool)
-            first[:, 0] = True
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * (tables * keys.shape[2]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("class_id"), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()),
@@ -194,18 +221,11 @@ def close_pairs(classes: DataFrame, cosine: float = COSINE, index: tuple = CLOSE
 
     signed = classes.mapInArrow(hashed, "id bigint, s0 bigint, s1 bigint, keys array<bigint>")
     signed = materialize(signed, "knn-signed")
-    every = signed.select("id", "s0", "s1", F.posexplode("keys").alias("at", "key"))
-    own = every.where(F.pmod("at", F.lit(probes)) == 0).drop("at").alias("a")
-    asked = every.drop("at").alias("b")
+    rows = signed.select("id", "s0", "s1", F.explode("keys").alias("key"))
     differ = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
-    candidates = (
-        own.join(
-            asked,
-            (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & (differ <= sign_bound(cosine)),
-        )
-        .select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
-        .distinct()
-    )
+    crowd = cells.crowded(rows, ["key"], BLOCK)
+    pair = lambda: [F.col("a.id").alias("a"), F.col("b.id").alias("b")]
+    candidates = cells.meetings(rows, ["key"], crowd, BLOCK, differ <= sign_bound(cosine), pair).distinct()
     side = lambda n: classes.select(F.col("class_id").alias(n), F.col("x").alias(f"x{n}"), F.col("model").alias(f"m{n}"))
     dot = F.aggregate(F.arrays_zip("xa", "xb"), F.lit(0.0), lambda s, z: s + z["xa"].cast("double") * z["xb"].cast("double"))
     return (
@@ -252,10 +272,10 @@ def mutual_neighbours(vectors: DataFrame, k: int = K, cosine: float = COSINE) ->
     )
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, index: tuple = NEAR) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, index: tuple | None = None) -> DataFrame:
     """(vec_id, rank, neighbour, cosine): the k most similar rows of the same model for each query row."""
-    tables, functions, width, probes = index
     classes, members = unit_classes(vectors, k)
+    tables, functions, width, probes = index or near_index(classes.count())
     asked = members.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "class_id")
 
     def keyed(n_probes: int):

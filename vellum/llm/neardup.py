@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.llm import cells
 from vellum.operators.skew import salted_join
 from vellum.session import materialize
 from vellum.tables import load, spread
@@ -41,8 +42,6 @@ SKETCH = 128
 #: Records that may meet on a first band, and on a full key, before they are split further.
 HOT = 256
 BLOCK = 2048
-#: Hot keys are broadcast up to this many (24 bytes each), else joined by shuffle.
-MAX_BROADCAST_KEYS = 300_000
 #: Candidate ids are broadcast to the scan that fetches their sets up to this many, else joined by shuffle.
 MAX_BROADCAST_IDS = 500_000
 
@@ -164,36 +163,20 @@ class NearDuplicates:
         self.links = materialize(self._verified(sets, self._candidates(leaders)), "neardup-links")
 
     def _candidates(self, leaders: DataFrame) -> DataFrame:
+        cell = ["tbl", "band", "key"]
         first = leaders.select("tbl", "id", "n_terms", "second", "s0", "s1", F.posexplode("first").alias("band", "key"))
-        hot = _crowded(first, HOT)
-        marked = _marked(first, hot)
+        marked = cells.marked(first, cells.crowded(first, cell, HOT), cell)
         # the full keys of hot first bands, one for each band of the second collection
         full = marked.where("n is not null").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
         full = full.withColumn("key", F.xxhash64("key", "band", "j", F.get("second", F.col("j")))).withColumn("band", F.lit(BANDS)).drop("n", "j")
-        cells = materialize(marked.where("n is null").drop("n").unionByName(full), "neardup-cells")
-        crowd = _crowded(cells.where(F.col("band") == BANDS), BLOCK)
-        marked = _marked(cells, crowd)
-        calm, packed = marked.where("n is null").drop("n"), marked.where("n is not null")
-        found = self._meet(calm, calm, [])
-        if not crowd.isEmpty():
-            parts = F.ceil(F.col("n") / BLOCK).cast("int")
-            packed = packed.withColumn("own", F.pmod(F.xxhash64("id", F.lit(9)), parts).cast("int"))
-            other = F.explode(F.sequence(F.lit(0), parts - 1))
-            left = packed.withColumn("x", F.col("own")).withColumn("y", other).drop("n", "own")
-            right = packed.withColumn("y", F.col("own")).withColumn("x", other).drop("n", "own")
-            found = found.unionByName(self._meet(left, right, ["x", "y"]))
-        return found.distinct()
-
-    def _meet(self, left: DataFrame, right: DataFrame, also: list[str]) -> DataFrame:
-        """(tbl, a, b): rows of equal cells that size, sketch and second bands allow to be similar enough."""
-        a, b = left.alias("a"), right.alias("b")
+        rows = materialize(marked.where("n is null").drop("n").unionByName(full), "neardup-cells")
+        crowd = cells.crowded(rows.where(F.col("band") == BANDS), cell, BLOCK)
         size = lambda x, y: F.col(x) >= F.col(y) * F.lit(self.similarity)
         differ = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
         second = reduce(lambda x, y: x | y, [F.get("a.second", F.lit(i)) == F.get("b.second", F.lit(i)) for i in range(BANDS)])
-        same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("tbl", "band", "key", *also)])
         able = size("a.n_terms", "b.n_terms") & size("b.n_terms", "a.n_terms") & (differ <= sketch_bound(self.similarity)) & second
-        pairs = a.join(b, same & (F.col("a.id") < F.col("b.id")) & able)
-        return pairs.select(F.col("a.tbl").alias("tbl"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        pair = lambda: [F.col("a.tbl").alias("tbl"), F.col("a.id").alias("a"), F.col("b.id").alias("b")]
+        return cells.meetings(rows, cell, crowd, BLOCK, able, pair).distinct()
 
     def _verified(self, sets: DataFrame, candidates: DataFrame) -> DataFrame:
         candidates = materialize(candidates, "neardup-candidates")
@@ -263,19 +246,6 @@ class NearDuplicates:
         )
 
 
-def _crowded(rows: DataFrame, most: int) -> DataFrame:
-    """(tbl, band, key, n) of the keys that more than ``most`` rows hold, counted on the map side first."""
-    return materialize(rows.groupBy("tbl", "band", "key").agg(F.count("*").alias("n")).where(F.col("n") > most), "neardup-crowded")
-
-
-def _marked(rows: DataFrame, crowded: DataFrame) -> DataFrame:
-    """``rows`` with the count of their key if it is crowded, else null."""
-    keys = ["tbl", "band", "key"]
-    if crowded.count() <= MAX_BROADCAST_KEYS:
-        return rows.join(F.broadcast(crowded), keys, "left")
-    return salted_join(rows, crowded, keys, crowded, "n", "left")
-
-
 def _of(spark: SparkSession, folder: str) -> NearDuplicates:
     documents = load(spark, folder, "documents").select("doc_id", "tf")
     chunks = load(spark, folder, "chunks").select("chunk_id", "text")
