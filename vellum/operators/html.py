@@ -116,8 +116,9 @@ def page_text(data: Column) -> Column:
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(resource_id, url, html). Repeated rows repeat: what is read off the pages is small, so that is where repeats are dropped."""
     rows = load(spark, folder, "web_resources").where("coalesce(is_main, true) and data is not null").select("resource_id", "url", "data")
-    return spread(rows.dropDuplicates(["resource_id"])).select("resource_id", "url", page_text(F.col("data")).alias("html"))
+    return spread(rows).select("resource_id", "url", page_text(F.col("data")).alias("html"))
 
 
 def external(href: Column) -> Column:
@@ -125,7 +126,8 @@ def external(href: Column) -> Column:
 
 
 def _rows(spark: SparkSession, folder: str, part: str) -> DataFrame:
-    return pages(spark, folder).select("resource_id", F.posexplode(extract(F.col("html"), part)[part]).alias("pos", "x"))
+    rows = pages(spark, folder).select("resource_id", F.posexplode(extract(F.col("html"), part)[part]).alias("pos", "x"))
+    return rows.dropDuplicates(["resource_id", "pos"])
 
 
 def q_links(spark, folder):
@@ -169,11 +171,11 @@ def q_code(spark, folder):
 
 
 def q_metadata(spark, folder):
-    return pages(spark, folder).select("resource_id", F.explode(extract(F.col("html"), "metadata")["metadata"]).alias("name", "content"))
+    return pages(spark, folder).select("resource_id", F.explode(extract(F.col("html"), "metadata")["metadata"]).alias("name", "content")).distinct()
 
 
 def q_comments(spark, folder):
-    rows = pages(spark, folder).select("resource_id", F.posexplode(comments(F.col("html"))).alias("pos", "text"))
+    rows = pages(spark, folder).select("resource_id", F.posexplode(comments(F.col("html"))).alias("pos", "text")).dropDuplicates(["resource_id", "pos"])
     text = F.trim("text")
     return rows.select(
         "resource_id", F.col("pos").cast("bigint").alias("pos"), text.alias("text"),
@@ -184,15 +186,15 @@ def q_comments(spark, folder):
 
 def q_stripped(spark, folder):
     html = strip_images(strip_comments(strip_silent(F.col("html"))))
-    return pages(spark, folder).select("resource_id", F.length("html").cast("bigint").alias("n_before"), F.length(html).cast("bigint").alias("n_after"))
+    return pages(spark, folder).select("resource_id", F.length("html").cast("bigint").alias("n_before"), F.length(html).cast("bigint").alias("n_after")).distinct()
 
 
 def q_markdown(spark, folder):
-    return pages(spark, folder).select("resource_id", to_markdown(F.col("html")).alias("r")).select("resource_id", "r.markdown", "r.error")
+    return pages(spark, folder).select("resource_id", to_markdown(F.col("html")).alias("r")).select("resource_id", "r.markdown", "r.error").dropDuplicates(["resource_id"])
 
 
 def q_text(spark, folder):
-    return pages(spark, folder).select("resource_id", to_text(F.col("html")).alias("r")).select("resource_id", "r.text", "r.error")
+    return pages(spark, folder).select("resource_id", to_text(F.col("html")).alias("r")).select("resource_id", "r.text", "r.error").dropDuplicates(["resource_id"])
 
 
 QUERIES = {

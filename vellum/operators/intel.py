@@ -78,8 +78,8 @@ def q_readability(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_detect_language(spark: SparkSession, folder: str) -> DataFrame:
     scores = language_scores(documents(spark, folder))
-    first = scores.groupBy("doc_id").agg(F.max("confidence").alias("confidence"))
-    return scores.join(first, ["doc_id", "confidence"]).groupBy("doc_id", "confidence").agg(F.min("language").alias("language"))
+    best = scores.groupBy("doc_id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "language")).alias("best"))
+    return best.select("doc_id", (-F.col("best.c")).alias("confidence"), "best.language")
 
 
 def q_language_scores(spark: SparkSession, folder: str) -> DataFrame:

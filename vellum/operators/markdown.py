@@ -12,12 +12,25 @@ MAX_TOKENS = 256
 OVERLAP = 32
 
 
+def fence_mask(lines: Column) -> Column:
+    """For each line whether it lies in a code fence or opens or closes one.
+
+    The places of the fences cut the lines into runs that are outside and inside by turns, so the mask is made run by run and
+    nothing has to be shuffled to count fences."""
+    marks = F.transform(lines, lambda x, i: F.when(F.regexp_like(x, F.lit(r"^\s*(```|~~~)")), i))
+    places = F.array_compact(marks)
+    inside = lambda k: k % 2 == 1
+    start = lambda p, k: F.when(k == 0, 0).when(inside(k), F.get(p, k - 1)).otherwise(F.get(p, k - 1) + 1)
+    end = lambda p, k, n: F.when(k == F.size(p), n).when(inside(k), F.get(p, k) + 1).otherwise(F.get(p, k))
+    runs = lambda p: F.transform(F.sequence(F.lit(0), F.size(p)), lambda k: F.array_repeat(inside(k), end(p, k, F.size(lines)) - start(p, k)))
+    return F.flatten(F.get(F.transform(F.array(places), runs), F.lit(0)))
+
+
 def line_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, line, fenced): one row per line; ``fenced`` if it lies in a code fence or opens or closes one."""
-    cut = rows.where(F.col(text).isNotNull()).select(key, F.posexplode(tx.lines(text)).alias("pos", "line"))
-    fence = F.regexp_like("line", F.lit(r"^\s*(```|~~~)"))
-    so_far = Window.partitionBy(key).orderBy("pos")
-    return cut.withColumn("fenced", fence | (F.count_if(fence).over(so_far) % 2 == 1))
+    cut = rows.where(F.col(text).isNotNull()).select(key, tx.lines(text).alias("_lines")).withColumn("_fenced", fence_mask(F.col("_lines")))
+    each = cut.select(key, F.posexplode(F.arrays_zip("_lines", "_fenced")).alias("pos", "z"))
+    return each.select(key, "pos", F.col("z._lines").alias("line"), F.col("z._fenced").alias("fenced"))
 
 
 def heading_level(line: Column) -> Column:
@@ -26,6 +39,10 @@ def heading_level(line: Column) -> Column:
     return F.when(found > 0, found)
 
 
+def title_of(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"^\s*#{1,6} ", ""))
+
+
 def headings(rows: DataFrame, key: str = "doc_id", text: str = "text", fences: bool = False) -> DataFrame:
     """(key, pos, level, title, anchor, path): headings in order with their ancestors' titles.
 
@@ -36,7 +53,7 @@ def headings(rows: DataFrame, key: str = "doc_id", text: str = "text", fences: b
         key, F.posexplode(tx.lines(text)).alias("pos", "line")
     ).withColumn("fenced", F.lit(False))
     found = cut.withColumn("level", heading_level(F.col("line"))).where("level is not null and not fenced")
-    found = found.withColumn("title", F.trim(F.regexp_replace("line", r"^\s*#{1,6} ", "")))
+    found = found.withColumn("title", title_of(F.col("line")))
     here = Window.partitionBy(key).orderBy("pos")
     out = found
     for k in range(1, 7):
@@ -70,6 +87,29 @@ def heading_audit(rows: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
 
 
+def sections(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, section, path, body): the lines between headings with the titles above them; section 0 has no heading.
+
+    A text is cut within its row, by the places of its headings; nothing is shuffled."""
+    cut = rows.where(F.col(text).isNotNull()).select(key, tx.lines(text).alias("l"))
+    head = lambda x, i: F.when(heading_level(x).isNotNull(), F.struct(i.alias("at"), heading_level(x).alias("level"), title_of(x).alias("title")))
+    cut = cut.withColumn("h", F.array_compact(F.transform("l", head)))
+    none = F.array_repeat(F.lit(None).cast("string"), 6)
+
+    def step(acc: Column, h: Column) -> Column:
+        stack = F.transform(acc["stack"], lambda t, i: F.when(i + 1 < h["level"], t).when(i + 1 == h["level"], h["title"]))
+        return F.struct(stack.alias("stack"), F.array_append(acc["paths"], F.array_compact(stack)).alias("paths"))
+
+    first = F.struct(none.alias("stack"), F.array(F.array().cast("array<string>")).alias("paths"))
+    paths = F.aggregate("h", first, step, lambda acc: acc["paths"])
+    start = lambda k: F.when(k == 0, 0).otherwise(F.get("h", k - 1)["at"] + 1)
+    end = lambda k: F.when(k == F.size("h"), F.size("l")).otherwise(F.get("h", k)["at"])
+    body = lambda k: F.array_join(F.slice("l", start(k) + 1, end(k) - start(k)), "\n")
+    bodies = F.transform(F.sequence(F.lit(0), F.size("h")), body)
+    each = cut.select(key, F.posexplode(F.arrays_zip(bodies.alias("body"), paths.alias("path"))).alias("section", "z"))
+    return each.select(key, "section", F.col("z.path").alias("path"), F.col("z.body").alias("body"))
+
+
 def chunks(rows: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
     """(key, chunk_index, heading_path, text, token_estimate): bodies of sections, long ones in overlapping windows of words.
 
@@ -79,19 +119,7 @@ def chunks(rows: DataFrame, key: str = "doc_id", text: str = "text", max_tokens:
     most = max(32, max_tokens)
     per = max(1, int(most / 1.3))
     step = max(1, per - overlap)
-    cut = rows.where(F.col(text).isNotNull()).select(key, F.posexplode(tx.lines(text)).alias("pos", "line"))
-    cut = cut.withColumn("level", heading_level(F.col("line")))
-    here = Window.partitionBy(key).orderBy("pos")
-    cut = cut.withColumn("section", F.count("level").over(here))
-    bodies = (
-        cut.where("level is null")
-        .groupBy(key, "section")
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
-        .withColumn("body", F.regexp_replace("body", r"(?U)^\s+|\s+$", ""))
-        .where("body <> ''")
-    )
-    ordered = headings(rows, key, text).withColumn("section", F.row_number().over(here).cast("bigint")).select(key, "section", "path")
-    bodies = bodies.join(ordered, [key, "section"], "left")
+    bodies = sections(rows, key, text).withColumn("body", F.regexp_replace("body", r"(?U)^\s+|\s+$", "")).where("body <> ''")
     words = tx.whitespace_words("body")
     bodies = bodies.withColumn("w", words).withColumn("n", F.size("w"))
     starts = F.when(F.ceil(F.col("n") * F.lit(1.3)) <= most, F.array(F.lit(0))).otherwise(
@@ -176,11 +204,12 @@ def inline_fields(rows: DataFrame, key: str, text: str) -> DataFrame:
 def callouts(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, kind, title, fold, body): ``> [!kind]± title`` and the quoted lines that follow it."""
     head = r"^\s*>\s*\[!([^\]]+)\]([+-]?)\s*(.*)$"
-    cut = line_rows(rows, key, text)
-    cut = cut.withColumn("quoted", F.regexp_like("line", F.lit(r"^\s*>"))).withColumn("starts", F.regexp_like("line", F.lit(head)))
+    cut = rows.where(F.col(text).isNotNull()).select(key, F.posexplode(tx.lines(text)).alias("pos", "line"))
+    cut = cut.where(F.regexp_like("line", F.lit(r"^\s*>"))).withColumn("starts", F.regexp_like("line", F.lit(head)))
     here = Window.partitionBy(key).orderBy("pos")
-    # an island is broken by every line that isn't quoted and begun by every head
-    cut = cut.withColumn("island", F.count_if(~F.col("quoted") | F.col("starts")).over(here)).where("quoted")
+    # an island begins at every head and after every line that isn't quoted; only quoted lines are brought together
+    begins = F.col("starts") | (F.col("pos") != F.coalesce(F.lag("pos").over(here), F.lit(-2)) + 1)
+    cut = cut.withColumn("begins", begins).withColumn("island", F.count_if("begins").over(here))
     folded = cut.groupBy(key, "island").agg(
         F.min_by("line", "pos").alias("head"), F.min("pos").alias("pos"), F.bool_or("starts").alias("is_callout"),
         F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("all"),

@@ -2,52 +2,82 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
+from collections.abc import Iterator
+from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.operators.textstats import _DOCS, _STOP, _TOK, documents, term_frequency, words_of
+from vellum.functions.words import STOPWORDS
+from vellum.operators.skew import salted_join
+from vellum.operators.textstats import _DOCS, _STOP, _TOK, documents, term_frequency
 from vellum.tables import load
 
 THRESHOLD = 3
 
 
+class _Prints(dict):
+    """FNV-1a of words, each worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = 0xCBF29CE484222325
+        for byte in word.encode():
+            h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        self[word] = h
+        return h
+
+
+_PRINT = _Prints()
+
+
 def simhash(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint): 64-bit SimHash of a document's words, each weighing its count; 0 without words.
 
-    Every distinct word of the corpus is hashed once.
+    A document's words are hashed where it is read, so no word of the corpus is a key and nothing is shuffled.
     """
-    counts = words_of(docs).groupBy("doc_id", "word").agg(F.count("*").alias("w"))
-    hashed = counts.select("word").distinct().withColumn("h", tx.fnv1a("word"))
-    votes = [
-        F.sum(F.when(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"v{b}")
-        for b in range(64)
-    ]
-    bits = [F.when(F.col(f"v{b}") > 0, F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")) for b in range(64)]
-    prints = counts.join(hashed, "word").groupBy("doc_id").agg(*votes)
-    prints = prints.select("doc_id", reduce(Column.bitwiseOR, bits).alias("fingerprint"))
-    return docs.select("doc_id").join(prints, "doc_id", "left").select(
-        "doc_id", F.coalesce("fingerprint", F.lit(0)).cast("bigint").alias("fingerprint")
-    )
+
+    @F.pandas_udf("bigint")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places = np.arange(64, dtype=np.uint64)
+        for rows in batches:
+            out = np.zeros(len(rows), np.uint64)
+            for k, words in enumerate(rows):
+                if words is None or not len(words):
+                    continue
+                counts = Counter(words)
+                h = np.fromiter(map(_PRINT.__getitem__, counts), np.uint64, len(counts))
+                n = np.fromiter(counts.values(), np.int64, len(counts))
+                ones = (((h[:, None] >> places) & np.uint64(1)).astype(np.int64) * n[:, None]).sum(0)
+                out[k] = ((ones * 2 > n.sum()).astype(np.uint64) << places).sum()
+            yield pd.Series(out.view(np.int64))
+
+    return docs.select("doc_id", prints(tx.tokens("text")).alias("fingerprint"))
+
+
+#: Blocks of a fingerprint that a key of the multi-index combines, beside those that may differ.
+TOGETHER = 3
 
 
 def near_duplicate_links(prints: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Representatives of equal fingerprints, and links between fingerprints within ``threshold`` bits.
 
-    Two fingerprints that differ in at most t bits agree in one of t + 1 blocks, so an equi-join on (block, value) misses none.
+    Two fingerprints that differ in at most t of t + 3 blocks agree in three of them at least, so an equi-join on every choice of
+    three blocks misses none; three blocks are half the bits, which keeps the buckets small however large the corpus.
     Equal fingerprints are one class, so copies are never paired with each other.
     """
     classes = prints.where(F.col("fingerprint") != 0).groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_documents"))
-    edges = [round(64 * i / (threshold + 1)) for i in range(threshold + 2)]
-    blocks = F.array(
-        *[
-            F.shiftrightunsigned("fingerprint", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-            for low, high in zip(edges, edges[1:])
-        ]
-    )
-    rows = classes.select("class_id", "fingerprint", F.posexplode(blocks).alias("block", "value"))
+    n = threshold + TOGETHER
+    edges = [round(64 * i / n) for i in range(n + 1)]
+    masks = [((1 << (high - low)) - 1) << low for low, high in zip(edges, edges[1:])]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = F.array(*[F.col("fingerprint").bitwiseAND(F.lit(signed(sum(some)))) for some in combinations(masks, TOGETHER)])
+    rows = classes.select("class_id", "fingerprint", F.posexplode(keys).alias("block", "value"))
     a, b = rows.alias("a"), rows.alias("b")
     distance = F.bit_count(F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint")))
     same = (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value"))
@@ -57,16 +87,30 @@ def near_duplicate_links(prints: DataFrame, threshold: int = THRESHOLD) -> tuple
     return classes, links.distinct()
 
 
+def terms(text: Column | str) -> Column:
+    """Words of at least three bytes that aren't stopwords, as an array."""
+    return F.filter(tx.tokens(text), lambda w: (F.octet_length(w) >= 3) & ~w.isin(STOPWORDS))
+
+
 def related(docs: DataFrame, target: int, most: int = 5) -> DataFrame:
-    """(doc_id, score): documents of most cosine of term counts with one document; ties by id."""
-    tf = term_frequency(docs)
-    norms = tf.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    own = tf.where(F.col("doc_id") == target).select("term", F.col("tf").alias("own_tf"))
-    row = norms.where(F.col("doc_id") == target).first()
-    own_norm = F.lit(row["norm"] if row else None).cast("double")
-    dots = tf.where(F.col("doc_id") != target).join(own, "term").groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("own_tf")).alias("dot"))
-    score = F.round(F.col("dot") / (F.col("norm") * own_norm), 6)
-    return dots.join(norms, "doc_id").select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(most)
+    """(doc_id, score): documents of most cosine of term counts with one document; ties by id.
+
+    The terms of the one document travel to the others, which are read once and not shuffled."""
+    row = docs.where(F.col("doc_id") == target).select(terms("text").alias("t")).first()
+    own = Counter(row["t"] if row and row["t"] else [])
+    own_norm = sum(n * n for n in own.values()) ** 0.5
+
+    @F.pandas_udf("double")
+    def cosine(rows: pd.Series) -> pd.Series:
+        out = []
+        for words in rows:
+            counts = Counter(words)
+            dot = sum(n * own[w] for w, n in counts.items() if w in own)
+            out.append(dot / (sum(n * n for n in counts.values()) ** 0.5 * own_norm) if dot else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    scored = docs.where(F.col("doc_id") != target).select("doc_id", F.round(cosine(terms("text")), 6).alias("score"))
+    return scored.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(most)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -90,7 +134,7 @@ def file_vectors(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("label", F.col("dim").cast("bigint").alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
-def cluster(docs: DataFrame, least: float = 0.2, rounds: int = 4) -> DataFrame:
+def cluster(docs: DataFrame, least: float = 0.2) -> DataFrame:
     """(doc_id, cluster_id, score): documents around leaders found by their strongest term.
 
     A one-pass assignment that depends on the order of documents can't be distributed; here each document's first keyword names a
@@ -103,7 +147,10 @@ def cluster(docs: DataFrame, least: float = 0.2, rounds: int = 4) -> DataFrame:
     leader = first.groupBy("label").agg(F.max_by("doc_id", F.struct("tf", -F.col("doc_id"))).alias("leader"))
     member = first.join(leader, "label").select("doc_id", "label", "leader")
     led = tf.select(F.col("doc_id").alias("leader"), "term", F.col("tf").alias("ltf")).join(leader.select("leader"), "leader", "left_semi")
-    dots = tf.join(member, "doc_id").join(led, ["leader", "term"]).groupBy("doc_id", "leader", "label").agg(F.sum(F.col("tf") * F.col("ltf")).alias("dot"))
+    # all documents of a leader bring their terms to the leader's, so the leader's frequent terms are hot
+    brought = tf.join(member, "doc_id")
+    weights = brought.groupBy("leader", "term").agg(F.count("*").alias("n"))
+    dots = salted_join(brought, led, ["leader", "term"], weights, "n").groupBy("doc_id", "leader", "label").agg(F.sum(F.col("tf") * F.col("ltf")).alias("dot"))
     scored = dots.join(norms, "doc_id").join(norms.select(F.col("doc_id").alias("leader"), F.col("norm").alias("lnorm")), "leader")
     score = F.round(F.col("dot") / (F.col("norm") * F.col("lnorm")), 6)
     return scored.withColumn("score", score).select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.functions.words import STOPWORDS
+from vellum.operators.skew import salted_join
 from vellum.tables import load, spread
 
 KEYWORDS = 10
@@ -34,7 +35,7 @@ def keywords(docs: DataFrame, most: int = KEYWORDS) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.count()
     weight = F.col("tf") * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
-    scored = tf.join(df, "term").select("doc_id", "term", F.round(weight, 6).alias("score"))
+    scored = salted_join(tf, df, ["term"], df, "df").select("doc_id", "term", F.round(weight, 6).alias("score"))
     best = Window.partitionBy("doc_id").orderBy(F.desc("score"), "term")
     ranked = scored.withColumn("rank", F.row_number().over(best).cast("bigint"))
     return ranked.where(F.col("rank") <= most).select("doc_id", "rank", "term", "score")

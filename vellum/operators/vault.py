@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
+from vellum.operators.skew import salted_join
+from vellum.session import materialize
 from vellum.tables import latest, load
 
 NOTE_ENDING = r"\.(md|markdown)$"
@@ -72,7 +74,9 @@ def resolve_links(links: DataFrame, notes: DataFrame, attachments: DataFrame) ->
     at_depth = keys.groupBy("vault", "key", "depth").agg(F.count("*").alias("n"), F.min("path").alias("first"))
     overall = at_depth.groupBy("vault", "key").agg(F.sum("n").alias("n"), F.min_by(F.struct("n", "first"), "depth").alias("top"))
     own = keys.groupBy("vault", "key", folder_of(F.col("path")).alias("folder")).agg(F.min("path").alias("own"))
-    distinct = asked.where("key <> ''").select("vault", "key", "folder").distinct()
+    # counted on the map side; the counts tell which keys are hot in the join back
+    counts = asked.where("key <> ''").groupBy("vault", "key", "folder").agg(F.count("*").alias("n_asked"))
+    distinct = counts.drop("n_asked")
     found = (
         distinct.join(overall, ["vault", "key"])
         .join(own, ["vault", "key", "folder"], "left")
@@ -82,7 +86,7 @@ def resolve_links(links: DataFrame, notes: DataFrame, attachments: DataFrame) ->
             F.lit(True).alias("any"),
         )
     )
-    out = asked.join(found, ["vault", "key", "folder"], "left")
+    out = salted_join(asked, found, ["vault", "key", "folder"], counts, "n_asked", "left")
     path = F.when(F.col("key") == "", F.col("src")).otherwise(F.col("found"))
     return out.select(
         "link_id", "vault", "src", path.alias("path"),
@@ -259,7 +263,7 @@ def q_transclusions(spark: SparkSession, folder: str) -> DataFrame:
 def q_rename(spark: SparkSession, folder: str) -> DataFrame:
     """Changes that renaming the first note by vault and path would make."""
     notes, attachments, links = _tables(spark, folder)
-    resolved = resolve_links(links, notes, attachments).cache()
+    resolved = materialize(resolve_links(links, notes, attachments), "vault-resolved")
     most = resolved.where("status = 'resolved'").groupBy("vault", "path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "vault", "path").first()
     vault, path = (most["vault"], most["path"]) if most else ("", "")
     return rename_changes(links, resolved, vault, path, "archive/Renamed note.md")

@@ -59,12 +59,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vellum-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    keep(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(path: str) -> None:
+    """Remember a table of the shared folder for :func:`cleanup`."""
+    _WRITTEN.append(path)
+
+
 def cleanup(spark: SparkSession) -> None:
-    """Delete the tables that :func:`materialize` wrote; frames that read them end with this."""
+    """Delete the tables of the shared folder that were remembered; frames that read them end with this."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.session import shared_dir
+from vellum.session import keep, shared_dir
 from vellum.tables import load
 
 
@@ -36,9 +36,10 @@ def word_index(files: DataFrame) -> DataFrame:
 
 
 def stream_counts(spark: SparkSession, folder: str, table: str = "events", minutes: int = 60) -> DataFrame:
-    """Events per type and window, read as a stream to its end; late rows up to a day are still counted.
+    """Events per type and window, read as a stream to its end; rows up to a day late are counted, later ones are dropped.
 
-    Each micro-batch's windows replace the result, which lives in the shared folder.
+    In update mode every micro-batch writes the windows it changed, to the shared folder, and the watermark lets go of the state
+    of closed windows; a window's last writing is its result.
     """
     schema = load(spark, folder, table).schema
     out = f"{shared_dir(spark)}/vellum-stream-{uuid.uuid4().hex}"
@@ -51,14 +52,18 @@ def stream_counts(spark: SparkSession, folder: str, table: str = "events", minut
         .select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
     )
     query = (
-        counts.writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/result"))
+        counts.writeStream.outputMode("update")
+        # by number, so a batch that is run again after a failure writes what it wrote before
+        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/result/batch={n}"))
         .option("checkpointLocation", f"{out}/progress")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{out}/result")
+    keep(f"{out}")
+    last = F.struct("batch", "n", "total")
+    rows = spark.read.parquet(f"{out}/result").groupBy("start", "event_type").agg(F.max(last).alias("last"))
+    return rows.select("start", "event_type", "last.n", "last.total")
 
 
 def q_stream(spark: SparkSession, folder: str) -> DataFrame:
