@@ -327,13 +327,13 @@ def _blocks(node: Node, holders: set[int]) -> Generator:
         run.clear()
 
     for child in node.children:
+        if isinstance(child, Node) and (child.tag in SILENT or child.tag in ("head", "title")):
+            continue
         if isinstance(child, str) or (child.tag not in BLOCK and id(child) not in holders):
             run.append((yield _inline(child)))
             continue
         flush()
         tag = child.tag
-        if tag in SILENT or tag in ("head", "title"):
-            continue
         if re.fullmatch("h[1-6]", tag):
             if text := " ".join((yield _inline(child)).split()):
                 out.append("#" * int(tag[1]) + " " + text)

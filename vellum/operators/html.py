@@ -5,6 +5,7 @@ Null and empty pages have no rows. Comments and the removal of silent elements a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -135,7 +136,11 @@ def q_links(spark, folder):
 
 
 def q_link_statistics(spark, folder):
-    return q_links(spark, folder).groupBy("resource_id").agg(
+    return link_statistics(q_links(spark, folder), "resource_id")
+
+
+def link_statistics(links: DataFrame, key: str) -> DataFrame:
+    return links.groupBy(key).agg(
         F.count("*").alias("total"), F.count_if("external").alias("n_external"), F.count_if(~F.col("external")).alias("n_internal"),
         F.count_if(F.col("title").isNotNull()).alias("with_title"), F.count_if(F.col("target").isNotNull()).alias("with_target"), F.count_if(F.col("href") == "").alias("broken"),
     )
@@ -184,6 +189,114 @@ def q_comments(spark, folder):
     )
 
 
+# ------------------------------------------------------------------ pages built from a table, whose rows are known
+
+_BUILT = (
+    "<!DOCTYPE html>\n<html lang='en'><head><title>{p_name}</title><meta name='Brand' content='{p_brand}'><meta property='og:type' content='{p_type}'><style>p {{}}</style></head>\n"
+    "<body><h1 id='top'>{p_name}</h1><h4>Kind</h4><p>See <a href='/part/{p_partkey}' title='{p_brand}'>{p_name}</a> or <a href='https://x.example/{p_partkey}' rel=nofollow>the <b>list</b></a><a href='#top'>up</a>."
+    "<p><img src='/{p_partkey}.png'><img alt='none'><!-- [if part {p_partkey}] --><table><tr><td>size<td>kind<tr><th>a<th>b<tr><td>{p_size}<td>x|{p_type}<td>more</table>"
+    "<form method=post action='/buy'><label for=q>Count</label><input id=q name=n value='{p_size}' required><input type=hidden name=h value=1><input value=2><select name=s title=Pick><option>{p_brand}</select></form>"
+    "<dl><dt>brand<dt>make<dd>{p_brand}<dd>{p_type}</dl><blockquote cite='/src'>So <i>it</i> is<cite>Book</cite><footer>{p_brand}</footer></blockquote>"
+    "<pre><code class='language-py'>x = {p_size}\n  y</code></pre><p>or <code data-lang=sql>select {p_size}</code><ul><li>one<ul><li>{p_size}</ul><li>two</ul><script>'</p>'</script></body></html>"
+)
+
+
+def built(spark: SparkSession, folder: str) -> DataFrame:
+    """(p_partkey, html): a page for each part with one of everything."""
+    names = ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]
+    pieces = re.split(r"\{(p_\w+)\}", _BUILT.replace("{{", "\x01").replace("}}", "\x02"))
+    whole = [F.col(x).cast("string") if x in names else F.lit(x.replace("\x01", "{").replace("\x02", "}")) for x in pieces]
+    return load(spark, folder, "part").select("p_partkey", F.concat(*whole).alias("html"))
+
+
+def _built_rows(spark: SparkSession, folder: str, part: str) -> DataFrame:
+    rows = built(spark, folder).select("p_partkey", F.posexplode(extract(F.col("html"), part)[part]).alias("pos", "x"))
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def q_built(part: str):
+    return lambda spark, folder: _built_rows(spark, folder, part).select("p_partkey", "pos", "x.*")
+
+
+def q_built_links(spark, folder):
+    rows = _built_rows(spark, folder, "links").select("p_partkey", "pos", "x.*")
+    return rows.withColumn("external", external(F.col("href")))
+
+
+def q_built_link_statistics(spark, folder):
+    return link_statistics(q_built_links(spark, folder), "p_partkey")
+
+
+def q_built_tables(spark, folder):
+    cells = _built_rows(spark, folder, "tables").select("p_partkey", F.posexplode("x").alias("row_no", "cells"))
+    return cells.select("p_partkey", F.col("row_no").cast("bigint").alias("row_no"), F.array_join("cells", " ~ ").alias("cells"))
+
+
+def q_built_forms(spark, folder):
+    return _built_rows(spark, folder, "forms").select("p_partkey", "x.action", "x.method", F.posexplode("x.fields").alias("pos", "f")).select(
+        "p_partkey", "action", "method", F.col("pos").cast("bigint").alias("pos"), "f.*"
+    )
+
+
+def q_built_metadata(spark, folder):
+    return built(spark, folder).select("p_partkey", F.explode(extract(F.col("html"), "metadata")["metadata"]).alias("name", "content"))
+
+
+def q_built_comments(spark, folder):
+    found = built(spark, folder).select("p_partkey", F.explode(comments(F.col("html"))).alias("c"))
+    return found.select("p_partkey", F.trim("c").alias("text"), F.contains("c", F.lit("[if ")).alias("conditional"))
+
+
+def q_built_stripped(spark, folder):
+    html = strip_images(strip_comments(strip_silent(F.col("html"))))
+    return built(spark, folder).select("p_partkey", html.alias("html"))
+
+
+def q_built_markdown(spark, folder):
+    return built(spark, folder).select("p_partkey", to_markdown(F.col("html")).alias("r")).select("p_partkey", "r.markdown", "r.error")
+
+
+def q_built_text(spark, folder):
+    return built(spark, folder).select("p_partkey", to_text(F.col("html")).alias("r")).select("p_partkey", "r.text", "r.error")
+
+
+def link_summary(links: DataFrame, key: str) -> DataFrame:
+    """(key, summary): how many links a page has, then its outer and its inner ones as Markdown, in order."""
+    item = F.concat(F.lit("- ["), "text", F.lit("]("), "href", F.lit(")"))
+    lists = links.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "external", item.alias("item")))).alias("l"))
+    some = lambda on: F.array_join(F.transform(F.filter("l", lambda x: x["external"] == on), lambda x: x["item"]), "\n")
+    return lists.select(key, F.concat_ws("\n", F.concat(F.size("l").cast("string"), F.lit(" links")), F.lit("## External"), some(True), F.lit("## Internal"), some(False)).alias("summary"))
+
+
+def q_built_link_summary(spark, folder):
+    return link_summary(q_built_links(spark, folder), "p_partkey")
+
+
+def heading_outline(heads: DataFrame, key: str) -> DataFrame:
+    """(key, outline): the headings of a page as an indented list, in order."""
+    line = F.concat(F.repeat(F.lit("  "), (F.col("level") - 1).cast("int")), F.lit("- "), "text", F.lit(" (h"), F.col("level").cast("string"), F.lit(")"))
+    lists = heads.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("l"))
+    return lists.select(key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("outline"))
+
+
+def q_built_outline(spark, folder):
+    return heading_outline(q_built("headings")(spark, folder), "p_partkey")
+
+
+def form_text(forms: DataFrame, key: str) -> DataFrame:
+    """(key, markdown): the fields of forms (key, action, method, pos and a field's columns) as a list under the form's method and address."""
+    item = F.concat(
+        F.lit("- "), F.coalesce("label", "name"), F.lit(" ("), "type", F.lit(")"), F.when(F.col("required"), " *").otherwise(""), F.coalesce(F.concat(F.lit(": "), "value"), F.lit(""))
+    )
+    lists = forms.groupBy(key, "action", "method").agg(F.sort_array(F.collect_list(F.struct("pos", item.alias("item")))).alias("l"))
+    head = F.concat(F.lit("**Form** "), "method", F.lit(" "), F.coalesce("action", F.lit("")))
+    return lists.select(key, F.concat(head, F.lit("\n"), F.array_join(F.transform("l", lambda x: x["item"]), "\n")).alias("markdown"))
+
+
+def q_built_form_text(spark, folder):
+    return form_text(q_built_forms(spark, folder), "p_partkey")
+
+
 def q_stripped(spark, folder):
     html = strip_images(strip_comments(strip_silent(F.col("html"))))
     return pages(spark, folder).select("resource_id", F.length("html").cast("bigint").alias("n_before"), F.length(html).cast("bigint").alias("n_after")).distinct()
@@ -201,5 +314,47 @@ QUERIES = {
     "html_links": q_links, "html_link_statistics": q_link_statistics, "html_headings": q_html_headings, "html_images": q_images, "html_tables": q_tables,
     "html_forms": q_forms, "html_definitions": q_definitions, "html_quotes": q_quotes, "html_code": q_code, "html_metadata": q_metadata,
     "html_comments": q_comments, "html_stripped": q_stripped, "html_to_markdown": q_markdown, "html_to_text": q_text,
+    "built_links": q_built_links, "built_link_statistics": q_built_link_statistics, "built_link_summary": q_built_link_summary, "built_headings": q_built("headings"), "built_outline": q_built_outline,
+    "built_images": q_built("images"), "built_tables": q_built_tables, "built_forms": q_built_forms, "built_form_text": q_built_form_text, "built_definitions": q_built("definitions"),
+    "built_quotes": q_built("quotes"), "built_code": q_built("code"), "built_metadata": q_built_metadata, "built_comments": q_built_comments, "built_stripped": q_built_stripped,
+    "built_markdown": q_built_markdown, "built_text": q_built_text,
+}
+
+
+def _sql_of(template: str) -> str:
+    """A template with columns in braces as a SQL expression."""
+    parts = [f"{x}" if k % 2 else "'" + x.replace("'", "''").replace("\x01", "{").replace("\x02", "}") + "'" for k, x in enumerate(re.split(r"\{(p_\w+)\}", template.replace("{{", "\x01").replace("}}", "\x02")))]
+    return " || ".join(parts).replace("\n", "' || chr(10) || '")
+
+
+def _values(*rows: tuple, names: tuple[str, ...]) -> str:
+    """Rows of a part's page; strings are templates over the part's columns, None is null."""
+    cell = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"{x}::BIGINT" if isinstance(x, int) else _sql_of(x)
+    return " UNION ALL ".join("SELECT p_partkey, " + ", ".join(f"{cell(x)} AS {n}" for n, x in zip(names, row)) + " FROM part" for row in rows)
+
+
+_MARKDOWN = (
+    "# {p_name}\n\n#### Kind\n\nSee [{p_name}](/part/{p_partkey}) or [the **list**](https://x.example/{p_partkey})[up](#top).\n\n![Image](/{p_partkey}.png)\n\n| a | b |\n| --- | --- |\n| size | kind |\n| {p_size} | x\\|{p_type} |"
+    "\n\nCount{p_brand}\n\n**brand**\n: {p_brand}\n\n**make**\n: {p_brand}\n\n**brand**\n: {p_type}\n\n**make**\n: {p_type}\n\n> So *it* isBook\n> \n> {p_brand}\n\n```python\nx = {p_size}\n  y\n```\n\nor `select {p_size}`\n\n- one\n  - {p_size}\n- two"
+)
+SQL = {
+    "built_links": _values(
+        (0, "/part/{p_partkey}", "{p_name}", "{p_brand}", None, None, False), (1, "https://x.example/{p_partkey}", "the list", None, None, "nofollow", True),
+        names=("pos", "href", "text", "title", "target", "rel", "external")),
+    "built_link_statistics": _values((2, 1, 1, 1, 0, 0), names=("total", "n_external", "n_internal", "with_title", "with_target", "broken")),
+    "built_link_summary": _values(("2 links\n## External\n- [the list](https://x.example/{p_partkey})\n## Internal\n- [{p_name}](/part/{p_partkey})",), names=("summary",)),
+    "built_headings": _values((0, 1, "{p_name}", "top"), (1, 4, "Kind", None), names=("pos", "level", "text", "id")),
+    "built_outline": _values(("- {p_name} (h1)\n      - Kind (h4)",), names=("outline",)),
+    "built_images": _values((0, "/{p_partkey}.png", "Image", None), names=("pos", "src", "alt", "title")),
+    "built_tables": _values((0, "a ~ b"), (1, "size ~ kind"), (2, "{p_size} ~ x\\|{p_type}"), names=("row_no", "cells")),
+    "built_forms": _values(("/buy", "POST", 0, "text", "n", "Count", "{p_size}", True), ("/buy", "POST", 1, "select", "s", "Pick", "{p_brand}", False), names=("action", "method", "pos", "type", "name", "label", "value", "required")),
+    "built_form_text": _values(("**Form** POST /buy\n- Count (text) *: {p_size}\n- Pick (select): {p_brand}",), names=("markdown",)),
+    "built_definitions": _values((0, "brand", "{p_brand}"), (1, "make", "{p_brand}"), (2, "brand", "{p_type}"), (3, "make", "{p_type}"), names=("pos", "term", "definition")),
+    "built_quotes": _values((0, "So it is", "/src", "{p_brand}"), names=("pos", "text", "cite", "author")),
+    "built_code": _values((0, "python", "x = {p_size}\n  y"), (1, "sql", "select {p_size}"), names=("pos", "language", "code")),
+    "built_metadata": _values(("title", "{p_name}"), ("language", "en"), ("brand", "{p_brand}"), ("og_type", "{p_type}"), names=("name", "content")),
+    "built_comments": _values(("[if part {p_partkey}]", True), names=("text", "conditional")),
+    "built_stripped": _values((_BUILT.replace("<style>p {{}}</style>", "").replace("<script>'</p>'</script>", "").replace("<!-- [if part {p_partkey}] -->", "").replace("<img src='/{p_partkey}.png'><img alt='none'>", ""),), names=("html",)),
+    "built_markdown": _values((_MARKDOWN, None), names=("markdown", "error")),
+    "built_text": _values(("{p_name} Kind See {p_name} or the list up . size kind a b {p_size} x|{p_type} more Count {p_brand} brand make {p_brand} {p_type} So it is Book {p_brand} x = {p_size} y or select {p_size} one {p_size} two", None), names=("text", "error")),
 }
-SQL: dict[str, str] = {}

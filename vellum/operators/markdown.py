@@ -308,7 +308,10 @@ def q_todos(spark, folder):
 
 
 def q_inline_fields(spark, folder):
-    return inline_fields(_documents(spark, folder), "doc_id", "text")
+    """Fields of documents under lines that hold their language and source as fields."""
+    rows = load(spark, folder, "documents")
+    head = F.concat(F.lit("lang:: "), "lang", F.lit("\n- see (source:: "), "source", F.lit(") and [n:: 1]\n"), "text")
+    return inline_fields(spread(rows.select("doc_id", head.alias("text"))), "doc_id", "text")
 
 
 def q_callouts(spark, folder):
@@ -336,6 +339,40 @@ _LEVELS = rf"(SELECT *, nullif(length(regexp_extract(line, '^\s*(#{{1,6}}) ', 1)
 _STATUS = " ".join(f"WHEN '{m}' THEN '{n}'" for m, n in TASK_STATES.items())
 _TASK = r"^(\s*)(?:[-*+]|\d+[.)])\s+\[(.)\]\s+(.*)$"
 
+_CALLOUTS = r"""SELECT doc_id, (min(pos) + 1)::BIGINT AS line, lower(trim(regexp_extract(min_by(line, pos), '^\s*>\s*\[!([^\]]+)\]', 1))) AS kind,
+  coalesce(nullif(trim(regexp_extract(min_by(line, pos), '^\s*>\s*\[!([^\]]+)\]([+-]?)\s*(.*)$', 3)), ''), upper(kind[1]) || kind[2:]) AS title,
+  nullif(regexp_extract(min_by(line, pos), '^\s*>\s*\[!([^\]]+)\]([+-]?)', 2), '') AS fold,
+  coalesce(string_agg(regexp_replace(line, '^\s*>\s?', ''), chr(10) ORDER BY pos) FILTER (WHERE NOT starts), '') AS body
+  FROM (SELECT *, count(*) FILTER (WHERE starts OR before IS NULL OR before <> pos - 1) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM
+    (SELECT *, regexp_matches(line, '^\s*>\s*\[!([^\]]+)\]([+-]?)\s*(.*)$') AS starts, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM """ + _LINES + r""" WHERE regexp_matches(line, '^\s*>')))
+  GROUP BY doc_id, island HAVING bool_or(starts)"""
+_FIELD_NAME = r"[\p{L}\p{N}_ -]{1,60}"
+
+
+def _fields_sql(key: str, rows: str) -> str:
+    """Inline fields of ``rows`` (key, pos, line, fenced)."""
+    pair, whole = rf"[\[(]\s*({_FIELD_NAME})::\s*([^\])]*)[\])]", rf"^\s*(?:[-*+]\s+)?({_FIELD_NAME})::\s*(.+)$"
+    return (
+        f"SELECT {key}, line_no AS line, trim(k) AS field, trim(v) AS value FROM (SELECT {key}, (pos + 1)::BIGINT AS line_no, unnest(regexp_extract_all(line, '{pair}', 1)) AS k, unnest(regexp_extract_all(line, '{pair}', 2)) AS v FROM {rows} WHERE NOT fenced "
+        f"UNION ALL SELECT {key}, (pos + 1)::BIGINT, regexp_extract(line, '{whole}', 1), regexp_extract(line, '{whole}', 2) FROM {rows} WHERE NOT fenced AND regexp_matches(line, '{whole}') AND NOT regexp_matches(line, '{pair}'))"
+    )
+
+
+def _fenced_sql(key: str, text: str, table: str) -> str:
+    """(key, pos, line, fenced) of the lines of a table's texts."""
+    split = f"string_split(replace({text}, chr(13) || chr(10), chr(10)), chr(10))"
+    return (
+        rf"(SELECT *, regexp_matches(line, '^\s*(```|~~~)') OR count(*) FILTER (WHERE regexp_matches(line, '^\s*(```|~~~)')) OVER (PARTITION BY {key} ORDER BY pos) % 2 = 1 AS fenced FROM "
+        rf"(SELECT {key}, unnest({split}) AS line, generate_subscripts({split}, 1) - 1 AS pos FROM {table} WHERE {text} IS NOT NULL))"
+    )
+
+
+_NOTES = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vault, path ORDER BY loaded_at DESC, note_id DESC) AS rn FROM notes WHERE vault IS NOT NULL AND path IS NOT NULL) WHERE rn = 1)"
+_WITH_FIELDS = "(SELECT doc_id, 'lang:: ' || lang || chr(10) || '- see (source:: ' || source || ') and [n:: 1]' || chr(10) || text AS text FROM documents)"
+_MARKS = "📅✅⏳🛫"
+_ITEM = r"^(\s*)(?:[-*+]|\d+[.)])\s+\[(.)\]\s+(.*)$"
+_WORDS_OF = r"[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
 QUERIES = {
     "headings": q_headings, "heading_audit": q_heading_audit, "chunk_markdown": q_chunks, "wikilinks": q_wikilinks, "inline_tags": q_inline_tags,
     "tasks": q_tasks, "task_status": q_task_status, "active_todos": q_todos, "inline_fields": q_inline_fields, "callouts": q_callouts,
@@ -352,6 +389,30 @@ SQL = {
     AND NOT EXISTS (SELECT 1 FROM n c WHERE c.doc_id = a.doc_id AND c.pos > b.pos AND c.pos <= a.pos AND c.level <= b.level))
   SELECT n.doc_id, n.pos::BIGINT AS pos, level::BIGINT AS level, title, CASE WHEN nth > 0 THEN slug || '-' || nth ELSE slug END AS anchor,
   (SELECT string_agg(btitle, ' > ' ORDER BY bpos) FROM up WHERE up.doc_id = n.doc_id AND up.pos = n.pos) AS path FROM n""",
+    "callouts": _CALLOUTS,
+    "inline_fields": _fields_sql("doc_id", _fenced_sql("doc_id", "text", _WITH_FIELDS)),
+    "tasks": rf"""SELECT doc_id, (pos + 1)::BIGINT AS line, (length(regexp_extract(line, '{_ITEM}', 1)) // 2)::BIGINT AS indent, regexp_extract(line, '{_ITEM}', 2) AS state,
+  CASE regexp_extract(line, '{_ITEM}', 2) {_STATUS} ELSE 'other' END AS status, trim(regexp_replace(b, '\s*(?:[{_MARKS}]\s*\d{{4}}-\d{{2}}-\d{{2}}|🔁\s*[^{_MARKS}#]*)', '', 'g')) AS text,
+  array_to_string(list_filter(list_transform(regexp_split_to_array(b, '\s+'), lambda t: regexp_extract(t, '^#([\p{{L}}\p{{N}}/_-]+)', 1)), lambda t: regexp_matches(t, '\p{{L}}')), ' ') AS tags,
+  {", ".join(f"nullif(regexp_extract(b, '{m}\\s*(\\d{{{{4}}}}-\\d{{{{2}}}}-\\d{{{{2}}}})', 1), '') AS {n}".replace("{{", "{").replace("}}", "}") for n, m in _TASK_DATES.items())},
+  nullif(trim(regexp_extract(b, '🔁\s*([^{_MARKS}#]*)', 1)), '') AS recurrence FROM (SELECT *, regexp_extract(line, '{_ITEM}', 3) AS b FROM {_FENCED} WHERE NOT fenced AND regexp_matches(line, '{_ITEM}'))""",
+    "wikilinks": rf"""WITH r AS (SELECT note_id, (pos + 1)::BIGINT AS line, unnest(m) AS raw, (generate_subscripts(m, 1) - 1)::BIGINT AS ord FROM
+    (SELECT note_id, pos, regexp_extract_all(regexp_replace(line, '`[^`]*`', '', 'g'), '!?\[\[[^\[\]]+\]\]') AS m FROM {_fenced_sql("note_id", "body", _NOTES)} WHERE NOT fenced)),
+  i AS (SELECT *, replace(regexp_replace(raw, '^!?\[\[|\]\]$', '', 'g'), '\|', '|') AS inside FROM r),
+  p AS (SELECT *, regexp_extract(inside, '^([^|]*)', 1) AS place, regexp_extract(regexp_extract(inside, '^([^|]*)', 1), '#(.*)$', 1) AS anchor FROM i)
+  SELECT note_id, line, ord, raw, starts_with(raw, '!') AS embed, trim(regexp_extract(place, '^([^#]*)', 1)) AS target, CASE WHEN NOT starts_with(anchor, '^') THEN nullif(trim(anchor), '') END AS heading,
+  CASE WHEN starts_with(anchor, '^') THEN nullif(trim(anchor[2:]), '') END AS block, nullif(trim(regexp_extract(inside, '\|(.*)$', 1)), '') AS alias FROM p""",
+    "chunk_markdown": rf"""WITH h AS (SELECT * FROM {_LEVELS} WHERE level IS NOT NULL),
+  up AS (SELECT a.doc_id, a.pos, b.pos AS bpos, b.title AS btitle FROM h a JOIN h b ON b.doc_id = a.doc_id AND b.pos <= a.pos AND b.level <= a.level
+    AND NOT EXISTS (SELECT 1 FROM h c WHERE c.doc_id = a.doc_id AND c.pos > b.pos AND c.pos <= a.pos AND c.level <= b.level)),
+  paths AS (SELECT doc_id, pos, string_agg(btitle, ' > ' ORDER BY bpos) AS path FROM up GROUP BY ALL),
+  l AS (SELECT *, max(CASE WHEN level IS NOT NULL THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS under FROM {_LEVELS}),
+  b AS (SELECT doc_id, coalesce(under, -1) AS under, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^[\t-\r \x{{85}}\x{{a0}}\x{{3000}}]+|[\t-\r \x{{85}}\x{{a0}}\x{{3000}}]+$', '', 'g') AS body FROM l WHERE level IS NULL GROUP BY ALL),
+  w AS (SELECT *, regexp_extract_all(body, '{_WORDS_OF}') AS w FROM b WHERE body <> ''),
+  s AS (SELECT *, unnest(CASE WHEN ceil(len(w) * 1.3::DOUBLE) <= {MAX_TOKENS} THEN [0] ELSE list_filter(range(0, len(w), {int(MAX_TOKENS / 1.3) - OVERLAP}), lambda s: s = 0 OR s + {OVERLAP} < len(w)) END) AS s FROM w),
+  c AS (SELECT *, CASE WHEN ceil(len(w) * 1.3::DOUBLE) <= {MAX_TOKENS} THEN body ELSE array_to_string(w[s + 1:s + {int(MAX_TOKENS / 1.3)}], ' ') END AS text FROM s)
+  SELECT c.doc_id, row_number() OVER (PARTITION BY c.doc_id ORDER BY under, s) - 1 AS chunk_index, coalesce(path, '') AS heading_path, text, ceil(len(regexp_extract_all(text, '{_WORDS_OF}')) * 1.3::DOUBLE)::BIGINT AS token_estimate
+  FROM c LEFT JOIN paths ON paths.doc_id = c.doc_id AND paths.pos = under""",
     "active_todos": f"SELECT doc_id, (pos + 1)::BIGINT AS line, trim(line) AS todo FROM {_LINES} WHERE contains(line, '- [ ]')",
     "task_status": rf"""SELECT CASE regexp_extract(line, '{_TASK}', 2) {_STATUS} ELSE 'other' END AS status, count(*) AS n FROM {_FENCED} WHERE NOT fenced AND regexp_matches(line, '{_TASK}') GROUP BY 1""",
     "qa_pairs": rf"""WITH s AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*Q:') THEN 'q' ELSE 'a' END AS kind FROM {_LINES} WHERE regexp_matches(line, '^\s*[QA]:')),

@@ -92,8 +92,8 @@ def terms(text: Column | str) -> Column:
     return F.filter(tx.tokens(text), lambda w: (F.octet_length(w) >= 3) & ~w.isin(STOPWORDS))
 
 
-def related(docs: DataFrame, target: int, most: int = 5) -> DataFrame:
-    """(doc_id, score): documents of most cosine of term counts with one document; ties by id.
+def related(docs: DataFrame, target: int, most: int | None = 5) -> DataFrame:
+    """(doc_id, score): documents of most cosine of term counts with one document; ties by id. All of them in no order without ``most``.
 
     The terms of the one document travel to the others, which are read once and not shuffled."""
     row = docs.where(F.col("doc_id") == target).select(terms("text").alias("t")).first()
@@ -110,7 +110,8 @@ def related(docs: DataFrame, target: int, most: int = 5) -> DataFrame:
         return pd.Series(out, dtype="float64")
 
     scored = docs.where(F.col("doc_id") != target).select("doc_id", F.round(cosine(terms("text")), 6).alias("score"))
-    return scored.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(most)
+    scored = scored.where("score > 0")
+    return scored if most is None else scored.orderBy(F.desc("score"), "doc_id").limit(most)
 
 
 def dot(a: Column, b: Column) -> Column:

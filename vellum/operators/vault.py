@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
+from vellum.operators.markdown import _fenced_sql, _fields_sql
 from vellum.operators.skew import salted_join
 from vellum.session import materialize
 from vellum.tables import latest, load
@@ -311,6 +312,10 @@ SQL = {
     "alias_index": f"SELECT vault, lower(a) AS alias, count(DISTINCT path) AS n_notes FROM (SELECT vault, path, unnest(aliases) AS a FROM {_VALID}) WHERE a IS NOT NULL GROUP BY ALL",
     "vault_statistics": f"""SELECT vault, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^([^/]+)/', 1) ELSE '.' END AS top,
   count(*) AS n FROM (SELECT vault, path FROM {_VALID} UNION ALL SELECT vault, path FROM attachments) GROUP BY ALL""",
+    "note_fields": f"SELECT note_id, unnest(map_keys(frontmatter)) AS field, unnest(map_values(frontmatter)) AS value FROM {_VALID} UNION ALL SELECT note_id, field, value FROM ({_fields_sql('note_id', _fenced_sql('note_id', 'body', _VALID))})",
+    "rename_dry_run": f"""WITH {_RESOLVE}, top AS (SELECT vault, path FROM res WHERE status = 'resolved' GROUP BY ALL ORDER BY count(*) DESC, vault, path LIMIT 1)
+  SELECT l.link_id, l.src, l.raw, CASE WHEN l.embed THEN '!' ELSE '' END || '[[' || CASE WHEN contains(l.target, '/') THEN 'archive/Renamed note' ELSE 'Renamed note' END || coalesce('#' || l.heading, '') || coalesce('#^' || l.block, '') || coalesce('|' || l.alias, '') || ']]' AS new_raw
+  FROM (SELECT DISTINCT ON (link_id) * FROM links) l JOIN res r USING (link_id) JOIN top ON top.vault = r.vault AND top.path = r.path WHERE r.status = 'resolved' AND trim(l.target) <> ''""",
     "recent_notes": f"SELECT vault, path, mtime FROM {_VALID} WHERE mtime IS NOT NULL ORDER BY mtime DESC, vault, path LIMIT 10",
     "find_note": rf"""SELECT vault, path, score FROM (SELECT vault, path, CASE WHEN name = 'home' THEN 30 WHEN coalesce(list_contains(list_transform(aliases, lambda a: lower(a)), 'home'), false) THEN 20
   WHEN contains(name, 'home') THEN 15 WHEN contains(lower(body), 'home') THEN 5 ELSE 0 END::BIGINT AS score FROM

@@ -57,7 +57,8 @@ def q_semi(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_anti(spark: SparkSession, folder: str) -> DataFrame:
-    customers, orders = load(spark, folder, "customer"), load(spark, folder, "orders")
+    """Customers without an urgent order that is done."""
+    customers, orders = load(spark, folder, "customer"), load(spark, folder, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
     return customers.join(orders, customers.c_custkey == orders.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 
@@ -128,7 +129,7 @@ SQL = {
     "rel_pricing_summary": """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_net,
   round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
     "rel_semi_join": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY ALL",
-    "rel_anti_join": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "rel_anti_join": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')",
     "rel_star_join": """SELECT r_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",
     "rel_cube": "SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus)::BIGINT AS level, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",

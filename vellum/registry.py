@@ -11,11 +11,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def modules() -> list:
     """Modules with ``QUERIES`` (name to function) and ``SQL`` (name to statement)."""
-    from vellum.operators import forms, html, intel, markdown, orphans, search, similarity, textstats, vault
+    from vellum.operators import compose, formats, forms, html, intel, markdown, orphans, search, similarity, textstats, vault
     from vellum.plans import relational
     from vellum.streaming import incremental
 
-    return [orphans, textstats, intel, search, similarity, markdown, vault, html, forms, relational, incremental]
+    return [orphans, textstats, intel, search, similarity, markdown, vault, html, forms, compose, formats, relational, incremental]
 
 
 def queries() -> dict[str, Query]:

@@ -288,6 +288,7 @@ def from_feed(data: bytes) -> str:
 
 
 def _per_line(rules: list[tuple[str, str | Callable]]) -> Callable[[bytes], str]:
+    """Rules are applied one after the other, so those for a leading ``#`` come before those that make headings."""
     compiled = [(re.compile(p), r) for p, r in rules]
 
     def convert(data: bytes) -> str:
@@ -303,7 +304,7 @@ def _per_line(rules: list[tuple[str, str | Callable]]) -> Callable[[bytes], str]
 
 _hashes = lambda m: "#" * len(m.group(1)) + " " + m.group(2).strip()
 from_mediawiki = _per_line([
-    (r"^(={1,6})\s*(.+?)\s*=+\s*$", _hashes), (r"^(\*+)\s*", lambda m: "  " * (len(m.group(1)) - 1) + "- "), (r"^(#+)\s+(?=[^#])", lambda m: "  " * (len(m.group(1)) - 1) + "1. "),
+    (r"^(#+)\s+(?=[^#])", lambda m: "  " * (len(m.group(1)) - 1) + "1. "), (r"^(={1,6})\s*(.+?)\s*=+\s*$", _hashes), (r"^(\*+)\s*", lambda m: "  " * (len(m.group(1)) - 1) + "- "),
     (r"'''(.+?)'''", r"**\1**"), (r"''(.+?)''", r"*\1*"), (r"\[\[([^\]|]+)\|([^\]]+)\]\]", r"[\2](\1)"), (r"\[(https?://\S+)\s+([^\]]+)\]", r"[\2](\1)"),
 ])
 from_asciidoc = _per_line([
@@ -311,7 +312,7 @@ from_asciidoc = _per_line([
     (r"^\[source,\s*(\w+)\]\s*$", ""), (r"^----\s*$", "```"), (r"(https?://\S+)\[([^\]]+)\]", r"[\2](\1)"),
 ])
 from_textile = _per_line([
-    (r"^h([1-6])\.\s+(.+)$", lambda m: "#" * int(m.group(1)) + " " + m.group(2)), (r"^(\*+)\s+", lambda m: "  " * (len(m.group(1)) - 1) + "- "), (r"^(#+)\s+", lambda m: "  " * (len(m.group(1)) - 1) + "1. "),
+    (r"^(#+)\s+", lambda m: "  " * (len(m.group(1)) - 1) + "1. "), (r"^h([1-6])\.\s+(.+)$", lambda m: "#" * int(m.group(1)) + " " + m.group(2)), (r"^(\*+)\s+", lambda m: "  " * (len(m.group(1)) - 1) + "- "),
     (r"@([^@]+)@", r"`\1`"), (r"\"([^\"]+)\":(https?://\S+)", r"[\1](\2)"),
 ])
 
