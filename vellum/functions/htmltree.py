@@ -215,7 +215,7 @@ def metadata(root: Node) -> dict[str, str]:
 # Short names of languages in class attributes.
 LANGUAGE_NAMES = {"js": "javascript", "ts": "typescript", "py": "python", "rs": "rust", "rb": "ruby", "sh": "bash", "shell": "bash", "yml": "yaml", "cs": "csharp", "c++": "cpp", "md": "markdown"}
 
-# A few tell-tale strings of each language.
+#: A few tell-tale strings of each language, chosen here.
 SIGNATURES = {
     "bash": ("#!/bin/", "echo ", "fi\n", "esac", "done\n"), "c": ("#include", "int main", "printf(", "malloc(", "->"), "css": ("color:", "margin:", "padding:", "px;", "{\n"),
     "go": ("func ", "package ", ":= ", "chan ", "defer "), "html": ("<div", "<html", "</", "<p>", "href="), "java": ("public class", "system.out", "private ", "@override", "new "),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.sources import convert
+from vellum.sources import convert, files
 from vellum.tables import load
 
 #: Contents of a file of each text format and its Markdown; ``@`` stands for a nation's name, the first control character for ``@``.
@@ -81,6 +81,20 @@ def q_zipped_formats(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("n_nationkey", "ext", "r.markdown", "r.error")
 
 
+def q_ending_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every ending that has one, of some that have none, in lower and upper case."""
+    endings = F.explode(F.array(*map(F.lit, [*sorted(convert._LANGUAGE), "bin", "txt"]))).alias("e")
+    rows = load(spark, folder, "nation").where("n_nationkey < 2").select("n_nationkey", endings)
+    ext = F.when(F.col("n_nationkey") == 1, F.upper("e")).otherwise(F.col("e"))
+    return rows.select(ext.alias("ext"), convert.language_of_ending(ext).alias("language"))
+
+
+def q_code_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Which of the paths of documents and attachments a scan of code would take."""
+    paths = load(spark, folder, "documents").select("path").unionByName(load(spark, folder, "attachments").select("path"))
+    return paths.where("path is not null").select("path", files.is_code(F.col("path")).alias("is_code")).distinct()
+
+
 def _literal(text: str | None) -> str:
     if text is None:
         return "NULL"
@@ -93,5 +107,15 @@ def _sql(formats: dict) -> str:
     return " UNION ALL ".join(f"SELECT n_nationkey, '{e}' AS ext, {_literal(m)} AS markdown, {error(e)} AS error FROM nation" for e, (_, m) in formats.items())
 
 
-QUERIES = {"text_formats": q_text_formats, "zipped_formats": q_zipped_formats}
-SQL = {"text_formats": _sql(TEXTS), "zipped_formats": _sql(ZIPPED)}
+_ENDINGS = ", ".join(f"('{e}', '{name}')" for name, es in convert.LANGUAGES.items() for e in es.split())
+_IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+
+QUERIES = {"text_formats": q_text_formats, "zipped_formats": q_zipped_formats, "ending_languages": q_ending_languages, "code_paths": q_code_paths}
+SQL = {
+    "text_formats": _sql(TEXTS),
+    "zipped_formats": _sql(ZIPPED),
+    "ending_languages": f"WITH v AS (SELECT * FROM (VALUES {_ENDINGS}, ('bin', ''), ('txt', '')) t(ext, language)) SELECT ext, language FROM v UNION ALL SELECT upper(ext), language FROM v",
+    "code_paths": f"""SELECT DISTINCT path, (lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN {_IN(files.CODE_ENDINGS)} OR regexp_extract(path, '([^/]*)$', 1) IN {_IN(files.CODE_NAMES)})
+  AND len(list_filter(string_split(regexp_replace(path, '[^/]*$', ''), '/'), lambda f: f IN {_IN(files.CODE_SKIPPED)} OR regexp_matches(f, '^\\.[^./]'))) = 0 AS is_code
+  FROM (SELECT path FROM documents UNION ALL SELECT path FROM attachments) WHERE path IS NOT NULL""",
+}

@@ -25,11 +25,18 @@ from vellum.functions import htmltree as ht
 
 LIMIT = 10 * 1024 * 1024
 
-# Languages of source files by ending.
+# Languages of files by ending.
 LANGUAGES = {
-    "bash": "sh bash zsh", "c": "c h", "cpp": "cpp cc cxx hpp", "csharp": "cs", "css": "css", "go": "go", "java": "java", "javascript": "js mjs cjs", "json": "json",
-    "jsx": "jsx", "kotlin": "kt kts", "lua": "lua", "perl": "pl pm", "php": "php", "python": "py pyi", "r": "r", "ruby": "rb", "rust": "rs", "scala": "scala",
-    "sql": "sql", "swift": "swift", "toml": "toml", "tsx": "tsx", "typescript": "ts", "xml": "xml", "yaml": "yaml yml",
+    "html": "html htm", "css": "css", "scss": "scss", "sass": "sass", "less": "less", "javascript": "js jsx mjs cjs", "typescript": "ts tsx mts", "vue": "vue",
+    "svelte": "svelte", "astro": "astro", "python": "py pyx scons", "ruby": "rb erb", "php": "php phtml", "java": "java", "csharp": "cs csharp",
+    "cpp": "cpp cc cxx c++ hpp hxx", "c": "c h", "rust": "rs", "go": "go", "kotlin": "kt kts", "swift": "swift", "objc": "m mm", "scala": "scala", "groovy": "groovy",
+    "gradle": "gradle", "vbnet": "vb vbs", "asp": "asp aspx", "jsp": "jsp", "bash": "sh bash zsh fish", "powershell": "ps1 psm1", "batch": "cmd bat", "perl": "pl pm",
+    "awk": "awk", "sed": "sed", "json": "json jsonc", "yaml": "yaml yml", "xml": "xml", "toml": "toml", "ini": "ini cfg conf", "properties": "properties",
+    "sql": "sql psql", "graphql": "graphql gql", "protobuf": "proto", "markdown": "md markdown mdown", "rst": "rst", "latex": "tex latex", "asciidoc": "adoc",
+    "dockerfile": "dockerfile", "makefile": "makefile mk", "cmake": "cmake", "ninja": "ninja", "r": "r rmd", "lua": "lua", "julia": "julia jl", "clojure": "clj cljs",
+    "elixir": "ex exs", "erlang": "erl hrl", "haxe": "hx", "haskell": "hs", "ocaml": "ml mli", "fsharp": "fs fsx fsi", "forth": "fth", "vim": "vim", "diff": "diff patch",
+    "dart": "dart", "nim": "nim", "zig": "zig", "d": "d", "lisp": "lisp lsp", "scheme": "scm", "racket": "rkt", "cypher": "cypher", "sparql": "sparql", "aql": "aql",
+    "asm": "asm s", "hex": "hex",
 }
 _LANGUAGE = {ext: lang for lang, exts in LANGUAGES.items() for ext in exts.split()}
 
@@ -395,11 +402,18 @@ def convert(ext: str | None, data: bytes | None, limit: int | None = LIMIT) -> t
                 return None, f"{len(data)} bytes; at most {limit} are converted"
             return CONVERTERS[ext](bytes(data)), None
         text = decoded(bytes(data))
-        return (fenced(text, _LANGUAGE[ext]) if ext in _LANGUAGE else text), None
+        # Markdown is what it is; other text in a known language is fenced
+        return (fenced(text, _LANGUAGE[ext]) if _LANGUAGE.get(ext, "markdown") != "markdown" else text), None
     except Exception as e:  # a broken file is a row with an error
         return None, f"{type(e).__name__}: {e}"[:300]
 
 
+def language_of_ending(ext: Column) -> Column:
+    """The language of a file by its ending in any case; empty where it says none."""
+    known = F.create_map(*[F.lit(x) for pair in sorted(_LANGUAGE.items()) for x in pair])
+    return F.when(ext.isNotNull(), F.coalesce(F.try_element_at(known, F.lower(ext)), F.lit("")))
+
+
 RESULT = T.StructType([T.StructField("markdown", T.StringType()), T.StructField("error", T.StringType())])
 
 
