@@ -131,7 +131,7 @@ def test_labeller_learns_held_out_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/web_resources.parquet")
     pages = [mainbody.page_blocks(r["data"]) for r in mainbody.html_resources(rows).dropDuplicates(["resource_id"]).orderBy("resource_id").collect()]
     pages = [p for p in pages if p]
-    model = mainbody.train(pages[:90], epochs=25)
+    model = mainbody.train(pages[:90])
     right = total = 0
     for page, score in zip(pages[90:], mainbody.label(model, pages[90:])):
         right += sum((s >= 0.5) == bool(y) for s, y in zip(score, mainbody.seed(page)))
@@ -139,6 +139,82 @@ def test_labeller_learns_held_out_pages(spark):
     assert right >= 0.96 * total
 
 
+#: Pages written for this test, a block a line; a plus stands before the blocks that a reader would call the article.
+BY_HAND = [
+    """<body><nav><a href=/>Home</a> <a href=/n>News</a></nav>
+<main><article>
++<h1>Why the bridge was closed</h1>
+<p class=meta>By Ann Lee, 2024-05-01</p>
++<p>The bridge over the river was closed on Monday after cracks were found in two of its pillars.</p>
++<p>Engineers said that the repair would take until autumn, and that a ferry will run in its place.</p>
++<ul><li>The ferry is free of charge</li></ul>
+<aside><h3>Related</h3><a href=/a>An older story</a></aside>
++<p>The town has asked the region for money, as its own budget does not cover the work.</p>
+</article></main>
+<footer><p>© 2024 The Paper</p><a href=/c>Contact</a></footer></body>""",
+    """<body><div class=cookie>We use cookies to improve this site. <button>Accept</button></div>
+<div class=top><a href=/>Start</a> | <a href=/shop>Shop</a> | <a href=/help>Help</a></div>
+<div class=content>
++<h1>How to keep bees in a small garden</h1>
++<p>A small garden is enough for one hive, if there are flowers from early spring to late summer.</p>
++<h2>What you need</h2>
++<p>You need a hive, a smoker and a veil, and a neighbour who does not mind some bees.</p>
++<pre>hive  1\nveil  1</pre>
++<p>In the first year the bees need all of their honey for themselves, so leave it to them.</p>
+</div>
+<div class=side><h3>Most read</h3><ul><li><a href=/1>Ten flowers for bees</a></li><li><a href=/2>Honey cake</a></li></ul></div>
+<div class=foot>© 2023 Garden Notes <a href=/imprint>Imprint</a></div></body>""",
+    """<body><header><a href=/>The Lab</a></header><nav><ul><li><a href=/p>Papers</a></li><li><a href=/t>Team</a></li></ul></nav>
+<article>
++<h1>A note on slow networks</h1>
++<p>We measured how long a page takes to load when the network drops one packet in a hundred.</p>
++<blockquote>Nothing is as slow as a page that never ends.</blockquote>
++<table><tr><td>loss</td><td>seconds</td></tr></table>
++<p>With more loss the time grows faster than one would expect from the number of packets alone.</p>
+<section class=comments><h3>Comments</h3><p>Great read, thank you!</p><p>I saw the same at home.</p></section>
+</article>
+<form action=/news><label>Our newsletter</label><button>Subscribe</button></form>
+<footer>© The Lab</footer></body>""",
+    """<body><nav><a href=/a>One</a><a href=/b>Two</a></nav><div><ul><li><a href=/1>First list of links</a></li><li><a href=/2>Second of them</a></li><li><a href=/3>And a third one</a></li></ul></div>
+<footer>© 2022</footer></body>""",
+]
+
+
+def test_labels_set_by_hand(spark):
+    """Against labels that no rule of the library made."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/web_resources.parquet")
+    model = mainbody.fit(mainbody.html_resources(rows))
+    right = total = 0
+    for text in BY_HAND:
+        wanted = {n for n, line in enumerate(text.split("\n"), 1) if line.startswith("+")}
+        page = mainbody.page_blocks("\n".join(line.removeprefix("+") for line in text.split("\n")).encode())
+        for b, s in zip(page, mainbody.label(model, [page])[0]):
+            right += (s >= 0.5) == bool(b.lines & wanted)
+            total += 1
+    print("blocks right by hand:", right, "of", total)
+    assert total > 40 and right >= 0.85 * total, (right, total)
+
+
+def test_a_labeller_is_kept(tmp_path):
+    net = mainbody.Labeller(hidden=4, width=3)
+    mainbody.save(net, str(tmp_path / "net.npz"))
+    page = mainbody.page_blocks(b"<p>one</p><p>two</p>")
+    assert (mainbody.label(mainbody.restore(str(tmp_path / "net.npz")), [page])[0] == mainbody.label(net, [page])[0]).all()
+
+
+def test_long_pages_are_trained_on_in_windows():
+    page = mainbody.page_blocks(b"<body><article>" + b"".join(b"<p>some text %d</p>" % i for i in range(950)) + b"</article></body>")
+    made = mainbody._windows(mainbody.features(page), list(range(950)))
+    assert [len(y) for _, y in made] == [400, 400, 150] and [y for _, ys in made for y in ys] == list(range(950))
+    assert sum(len(x[3][0]) for x, _ in made) == len(mainbody.features(page)[3][0]) and max(x[3][0].max() for x, _ in made) < 400
+
+
+def test_late_charsets_are_read():
+    page = b"<html><head><script>" + b"x" * 5000 + b"</script><meta charset=iso-8859-1></head><body>\xe9</body>"
+    assert decode(page).endswith("é</body>") and decode(page.replace(b"iso-8859-1", b"cp1252").replace(b"\xe9", b"\x80")).endswith("€</body>")
+    assert decode("<meta charset=utf-8><p>charset=cp1251 é".encode()).endswith("é")
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = mainbody.Labeller(hidden=4, width=3)

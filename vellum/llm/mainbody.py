@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ from vellum.tables import load, spread
 TRAIN_PAGES = 900
 #: Longer pages are trained on in windows of so many blocks, whose measures are those of the whole page.
 TRAIN_BLOCKS = 400
-EPOCHS = 12
+#: Passes over the sample, and the batches a training has at least, however few pages there are.
+EPOCHS, STEPS = 12, 240
 HIDDEN = 40
 TAG_BUCKETS, WORD_BUCKETS, WIDTH = 1024, 4096, 20
 BATCH = 48
@@ -168,7 +170,9 @@ def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Bag
         if b.path[-1:] == ("h1",):
             with_h1.update(b.ids[1:-1])
     before: Block | None = None
-    bag: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    at: list[int] = []
+    term: list[int] = []
+    share: list[float] = []
     for k, b in enumerate(page):
         path = [t + ("." if m else "") for t, m in zip(b.path, b.marked) if t != "html"]
         tags[k] = [
@@ -181,8 +185,10 @@ def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Bag
         words[k, : len(first)] = [_TERM[w] for w in first]
         words[k, 7 : 7 + len(last)] = [_TERM["$" + w] for w in last]
         if found:
-            term, times = np.unique(np.array([_TERM[w] for w in found], np.int32), return_counts=True)
-            bag.append((np.full(len(term), k, np.int32), term, (times / len(found)).astype(np.float32)))
+            counts = Counter(map(_TERM.__getitem__, found))
+            at += [k] * len(counts)
+            term += counts
+            share += [c / len(found) for c in counts.values()]
         size = max(1, len(text))
         own = b.ids[-1] if b.ids else 0
         up = b.ids[-2] if len(b.ids) > 1 else 0
@@ -200,7 +206,7 @@ def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Bag
             bool(b.path) and b.path[-1] in ("h1", "h2", "h3", "h4"),
         ]
         before = b
-    return tags, words, num, _joined(bag)
+    return tags, words, num, (np.array(at, np.int32), np.array(term, np.int32), np.array(share, np.float32))
 
 
 def _joined(bags: list[Bag]) -> Bag:
@@ -354,7 +360,7 @@ def _windows(made: tuple, labels: list[int], size: int = TRAIN_BLOCKS) -> list[t
     return out
 
 
-def train(pages: list[list[Block]], epochs: int = EPOCHS, random: int = 5) -> Labeller:
+def train(pages: list[list[Block]], epochs: int = EPOCHS, random: int = 5, steps: int = STEPS) -> Labeller:
     """A labeller trained on the pages that can be seeded."""
     rng = np.random.default_rng(random)
     pages = [p for p in pages if p]
@@ -370,6 +376,7 @@ def train(pages: list[list[Block]], epochs: int = EPOCHS, random: int = 5) -> La
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
     step = 0
     lengths = np.array([len(s[1]) for s in seeded])
+    epochs = max(epochs, -(-steps // -(-len(seeded) // BATCH)))
     total = epochs * -(-len(seeded) // BATCH)
     for epoch in range(epochs):
         # batches of pages about as long, in random order
