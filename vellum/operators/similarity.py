@@ -15,6 +15,7 @@ from vellum.functions import text as tx
 from vellum.functions.words import STOPWORDS
 from vellum.operators.skew import salted_join
 from vellum.operators.textstats import _DOCS, _STOP, _TOK, documents, term_frequency
+from vellum.session import materialize
 from vellum.tables import load
 
 THRESHOLD = 3
@@ -165,7 +166,8 @@ def q_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """One row per class of equal fingerprints: its documents and its links to other classes."""
-    classes, links = near_duplicate_links(simhash(documents(spark, folder)))
+    # written once, as the classes are asked for twice and so would the texts be read
+    classes, links = near_duplicate_links(materialize(simhash(documents(spark, folder)), "similarity-prints"))
     ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     return classes.join(ends, "class_id", "left").select("class_id", "n_documents", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
