@@ -55,6 +55,16 @@ def test_pieces_overlap_and_end_at_sentences(spark):
         assert b.text.split()[0] in a.text and a.text[-60:].strip() in b.text
 
 
+def test_repeated_chunks_come_once(spark, monkeypatch):
+    rows = [(1, ["h"], "a"), (1, ["h"], "a"), (1, ["h"], "b"), (2, None, "c"), (3, None, None), (None, None, "d"), (None, None, "d"), (4, [], "")]
+    frame = spark.createDataFrame(rows, "chunk_id long, heading_path array<string>, text string")
+    want = sorted(str((r[0], r[2])) for r in {(i, str(h), t) for i, h, t in rows})
+    for most in (split.MAX_BROADCAST_IDS, 0):
+        monkeypatch.setattr(split, "MAX_BROADCAST_IDS", most)
+        assert sorted(str((r.chunk_id, r.text)) for r in split.once(frame).collect()) == want
+    assert split.split_oversized(split.once(frame)).count() == 5
+
+
 # --- p3
 
 

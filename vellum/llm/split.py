@@ -17,12 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.session import materialize
 from vellum.tables import load, spread
 
 MAX_TOKENS = 512
 MAX_CHARS = 4096
 OVERLAP_TOKENS = 64
 OVERLAP_CHARS = 400
+#: Ids that come again are broadcast up to this many.
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -131,14 +134,25 @@ def split_oversized(
     )
 
 
+def once(chunks: DataFrame) -> DataFrame:
+    """Each chunk_id and text once. Only ids are shuffled to find those that come again, and only the texts of these are brought
+    together; beyond ``MAX_BROADCAST_IDS`` of them all texts are."""
+    again = materialize(chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id"), "split-again")
+    if again.count() > MAX_BROADCAST_IDS:
+        return chunks.dropDuplicates(["chunk_id", "text"])
+    # a null id equals no other in a join, so it is marked by itself
+    marked = chunks.join(F.broadcast(again.withColumn("_again", F.lit(True))), chunks["chunk_id"].eqNullSafe(again["chunk_id"]), "left").drop(again["chunk_id"])
+    alone, repeated = marked.where("_again is null"), marked.where("_again")
+    return alone.unionByName(repeated.dropDuplicates(["chunk_id", "text"])).drop("_again")
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = split_oversized(spread(load(spark, folder, "chunks")))
     return rows.where("is_oversized and piece_no = 0").select("chunk_id").distinct()
 
 
 def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    rows = split_oversized(spread(load(spark, folder, "chunks")))
-    return rows.dropDuplicates(["chunk_id", "piece_no", "text"])
+    return split_oversized(once(spread(load(spark, folder, "chunks").select("chunk_id", "heading_path", "text"))))
 
 
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
