@@ -126,6 +126,16 @@ def test_levels_leave_out_other_texts(spark):
     assert level.reading_level(spark.createDataFrame(texts, "id long, text string"), "id", graded.limit(0)).where("id = 1").first().level == 1
 
 
+def test_long_gaps_between_words_are_no_failure(spark):
+    """A million characters that are no letters, or as many link targets and addresses, stand between two words as one blank does."""
+    graded = spark.read.parquet(f"{DATA}/graded_texts.parquet")
+    text = "the dog and the cat ran to the park and sat in the sun"
+    gaps = [" ", "-| " * 350_000, " 1" * 500_000, "](a/b.md) " * 100_000, " https://a.b/c?d " * 60_000, "\n" * 1_000_000]
+    texts = spark.createDataFrame([(i, text.replace(" and ", f" and{gap}", 1)) for i, gap in enumerate(gaps)], "id long, text string")
+    got = {r.id: (r.n_words, r.level) for r in level.reading_level(texts, "id", graded).collect()}
+    assert got == {i: (14, 1) for i in range(len(gaps))}
+
+
 # --- p4
 
 
