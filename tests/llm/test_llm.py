@@ -136,6 +136,52 @@ def test_long_gaps_between_words_are_no_failure(spark):
     assert got == {i: (14, 1) for i in range(len(gaps))}
 
 
+def _own_words(spark, n, text, start):
+    """(id, text) of n texts, each with a word of its own."""
+    word = F.concat(F.lit(start), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    return spark.range(n).select("id", F.concat(F.lit(text), F.lit(" "), word).alias("text"))
+
+
+def test_all_texts_are_trained_on(spark):
+    """Each text and each graded text has a word of its own; none of them is left out of the model."""
+    graded = spark.read.parquet(f"{DATA}/graded_texts.parquet").select("grade", "text")
+    easy = "the dog and the cat ran to the park and sat in the sun"
+    many = graded.unionByName(_own_words(spark, 10_500, easy, "qgrade").select(F.lit(1).alias("grade"), "text"))
+    seen = level.train(_own_words(spark, 13_000, easy, "qseed"), "id", many)[0]
+    assert sum(w.startswith("qgrade") for w in seen) == 10_500
+    assert sum(w.startswith("qseed") for w in seen) == 13_000
+
+
+def test_large_models_give_the_same_levels(spark, monkeypatch):
+    """A model beyond the bound of a broadcast is joined by a shuffle, with no word left out."""
+    graded = spark.read.parquet(f"{DATA}/graded_texts.parquet")
+    chunks = spark.read.parquet(f"{DATA}/chunks.parquet")
+    got = []
+    for most in (level.MAX_VOCABULARY, 40):
+        monkeypatch.setattr(level, "MAX_VOCABULARY", most)
+        rows = level.reading_level(chunks, "chunk_id", graded).orderBy("chunk_id").collect()
+        got.append([(r.chunk_id, r.n_words, r.common_words, r.level, r.margin and pytest.approx(r.margin)) for r in rows])
+    assert len(got[0]) > 100 and got[0] == got[1]
+
+
+def test_models_of_tables_are_those_of_fit(spark):
+    rows = _graded(spark)
+    want = level.fit(level.count_words(rows))
+    texts = spark.createDataFrame(rows, "id int, text string")
+    got = level.train(texts, "id", texts.withColumnRenamed("id", "grade"), rounds=0)
+    for g, w in zip(got, want):
+        assert set(g) == set(w) and all(g[k] == pytest.approx(w[k]) for k in w)
+
+
+def test_seeds_count_repeated_rows_once(spark):
+    """A key's rows share the count of one text."""
+    graded = spark.read.parquet(f"{DATA}/graded_texts.parquet")
+    texts = _own_words(spark, 40, "the dog and the cat ran to the park and sat in the sun", "qseed")
+    often = texts.unionByName(texts.where("id < 20")).unionByName(texts.where("id < 10"))
+    once, again = (level.train(t, "id", graded) for t in (texts, often))
+    assert set(once[0]) == set(again[0]) and all(once[0][w] == pytest.approx(again[0][w]) for w in once[0])
+
+
 # --- p4
 
 
